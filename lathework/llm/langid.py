@@ -29,7 +29,9 @@ CENTROIDS = 4
 ROUNDS = 8
 #: A document is rejected if its similarity is below this share of the lowest one in hundred of training
 #: documents with a like number of n-grams.
-REJECT_SHARE = 0.6
+REJECT_SHARE = 0.5
+#: Texts with fewer n-grams than this are too short to be rejected by their distance.
+REJECT_LEAST = 32
 UNKNOWN = "und"
 _ROWS = 256  # dense vectors held at once
 
@@ -185,6 +187,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         floor[: known[0]] = 0.0  # no training text is as short: nothing to compare with
     else:
         floor[:] = 0.0
+    floor[: REJECT_LEAST.bit_length() - 1] = 0.0
     floor = np.minimum.accumulate(floor[::-1])[::-1]  # never stricter on shorter texts than on longer ones
     return Model(names, centroids.astype(np.float32), of, idf, floor)
 
