@@ -57,35 +57,50 @@ def of_tokens(tokens: np.ndarray, most: int | None = None) -> tuple[np.ndarray,
 def kasai(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """``out[i]``: common prefix of suffixes ``sa[i-1]`` and ``sa[i]``, counted up to ``most``; out[0] is 0.
 
-    Kasai's observation, that a suffix's common prefix with its predecessor is at least its left
-    neighbour's less one, is used on whole arrays: lengths are grown in steps of ``most`` / 2, / 4 ... 1
-    along the permuted order, each step by comparing block hashes of all still open pairs at once.
+    Kasai's inequality says that a suffix shares with its predecessor at least one symbol less than its left
+    neighbour does. Positions are taken level by level, at halving distances, so that all of a level are
+    compared at once: a position's prefix is at least that of the known one on its left less their distance
+    and at most that of the one on its right plus it. Where both agree nothing is compared; elsewhere
+    comparison starts at the lower bound, eight bytes at a time.
     """
     n = len(data)
-    out = np.zeros(n, np.int64)
     if n < 2:
-        return out
-    base = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(n + 1, base, np.uint64))
-        back = np.cumprod(np.full(n + 1, inverse, np.uint64))
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * back[:n])))
-        a, b = sa[:-1].copy(), sa[1:].copy()
-        got = np.zeros(n - 1, np.int64)
-        step = 1 << max(most - 1, 1).bit_length()
-        while step:
-            fits = (got + step <= most) & (np.maximum(a, b) + step <= n)
-            at = np.flatnonzero(fits)
-            i, j = a[at], b[at]
-            same = (prefix[i + step] - prefix[i]) * powers[i] == (prefix[j + step] - prefix[j]) * powers[j]
-            hit = at[same]
-            got[hit] += step
-            a[hit] += step
-            b[hit] += step
-            step >>= 1
-    out[1:] = got
-    return out
+        return np.zeros(n, np.int64)
+    before = np.empty(n, np.int64)
+    before[sa[1:]] = sa[:-1]
+    before[sa[0]] = n
+    words = np.concatenate((byte_keys(data), np.zeros(1, np.uint64)))
+    room = np.minimum(n - np.maximum(np.arange(n), before), most)
+    known = np.full(n, -1, np.int64)
+    step = 1 << (most - 1).bit_length()
+    level = np.arange(0, n, step)
+    while True:
+        left, right = level - step, level + step
+        low = np.where((left >= 0) & (known[np.maximum(left, 0)] >= 0), known[np.maximum(left, 0)] - step, 0)
+        beside = np.minimum(right, n - 1)
+        high = np.where((right < n) & (known[beside] >= 0) & (known[beside] < most), known[beside] + step, most)
+        low, high = np.clip(low, 0, room[level]), np.minimum(high, room[level])
+        at = np.flatnonzero(low < high)
+        while len(at):
+            i = level[at]
+            differ = words[i + low[at]] ^ words[np.minimum(before[i] + low[at], n)]
+            equal = np.where(differ == 0, 8, (63 - _top_bit(differ)) >> 3)
+            low[at] = np.minimum(low[at] + equal, high[at])
+            at = at[(equal == 8) & (low[at] < high[at])]
+        known[level] = low
+        if step == 1:
+            break
+        step >>= 1
+        level = np.arange(step, n, 2 * step)
+    return known[sa]
+
+
+def _top_bit(x: np.ndarray) -> np.ndarray:
+    """Number of the highest set bit; 0 for 0."""
+    x = x.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        x |= x >> np.uint64(shift)
+    return np.maximum(np.bitwise_count(x).astype(np.int64) - 1, 0)
 
 
 def bounds(tokens: np.ndarray, sa: np.ndarray, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
