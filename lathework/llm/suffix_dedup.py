@@ -48,7 +48,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     behind = np.minimum.accumulate(ranked[:, ::-1], axis=1)[:, ::-1].ravel()
     place = (np.minimum(behind[starts], ahead[starts + span - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     a, b = runs(place)
-    return hashes[place[a]], place[a], starts[a], starts[b - 1] + 1
+    return mixed(hashes[place[a]] + np.uint64(1)), place[a], starts[a], starts[b - 1] + 1  # smallest hashes lie near 0: spread them
 
 
 def _anchor_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
