@@ -237,7 +237,8 @@ def _marked(sent: DataFrame) -> DataFrame:
         now: int | None = None
         held: list[tuple[bytes, bytes]] = []
         for batch in batches:
-            for bucket, data, meta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                bucket, data, meta = (c[i].as_py() for c in batch.columns)
                 if bucket != now and held:
                     yield bucket_of(held)
                     held = []
@@ -263,7 +264,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    candidates = counted(hashed(texts, _anchor_hashes, max(1, math.ceil(total / (4 * BUCKET))), every=True), every=True)
+    candidates = counted(hashed(texts, _anchor_hashes, max(1, math.ceil(total / (12 * BUCKET))), every=True), every=True)
     found = _marked(_pieces(texts, candidates, max(1, math.ceil(total / PIECES))))
 
     def finish(text: bytes, findings: list[bytes]) -> tuple[int, int, int, str]:

@@ -1,8 +1,8 @@
 """Substring dedup by Rabin-Karp hashes of every window of consecutive words.
 
 Map tasks hash all windows of a chunk of documents and keep each distinct one's earliest start (later
-starts in the chunk are removed already). Hashes go to buckets by their leading bits as sorted, delta
-coded blocks, so one window costs some nine bytes of shuffle and a frequent one a single entry per chunk.
+starts in the chunk are removed already). Hashes go to buckets by their leading bits in blocks of
+bytes of equal weight, so one window costs some eight bytes of shuffle and a frequent one a single entry per chunk.
 A bucket's task counts equal hashes and marks all starts but the earliest. Marked windows meet their
 document again, where they merge into maximal intervals.
 """
@@ -24,7 +24,7 @@ from .common import gathered, mixed, runs, spread, text_bytes
 
 WINDOW = 20
 #: Text bytes hashed at once by a map task, and text bytes that one hash bucket stands for.
-CHUNK, BUCKET = 3 << 20, 24 << 20
+CHUNK, BUCKET = 3 << 20, 8 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -82,6 +82,18 @@ def _from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _packed(docs: np.ndarray) -> bytes:
+    """Rows (id, key, first start) column by column, so that near numbers compress."""
+    return b"".join(_planes(np.ascontiguousarray(docs[:, i])) for i in range(3))
+
+
+def _places(starts: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, key, offset) of a block's starts."""
+    n = len(docs) // 3
+    table = np.stack([_from_planes(docs[i * n : i * n + n], np.int64) for i in range(3)], 1)
+    return _located(np.cumsum(_from_planes(starts, np.uint32).astype(np.int64)), table)
+
+
 _SENT = "bucket int, hashes binary, starts binary, docs binary"
 
 
@@ -122,18 +134,21 @@ def hashed(texts: DataFrame, of: Hashing, buckets: int, every: bool) -> DataFram
             if not len(starts):
                 continue
             by = np.argsort(hashes, kind="stable")  # starts stay in order within equal hashes
-            hashes, starts = hashes[by], starts[by]
-            new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-            again = np.sort(starts[~(new & np.append(new[1:], True)) if every else ~new])
-            hashes, starts = hashes[new], starts[new]
-            bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            new = np.concatenate(([True], hashes[by[1:]] != hashes[by[:-1]]))
+            again = np.sort(starts[by[~(new & np.append(new[1:], True)) if every else ~new]])
+            sent = np.zeros(len(hashes), bool)
+            sent[by[new]] = True
+            hashes, starts = hashes[sent], starts[sent]
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            hashes, starts, bucket = hashes[order], starts[order], bucket[order]
             out: list[tuple[int, bytes, bytes, bytes]] = []
             for i, j in zip(*(x.tolist() for x in runs(bucket)), strict=True):
                 used = np.unique(np.searchsorted(first, starts[i:j], side="right") - 1)
-                out.append((int(bucket[i]), _planes(np.diff(hashes[i:j], prepend=np.uint64(0))), _planes(starts[i:j].astype(np.uint32)), docs[used].tobytes()))
+                out.append((int(bucket[i]), _planes(hashes[i:j])[: 7 * (j - i)], _planes(np.diff(starts[i:j], prepend=0).astype(np.uint32)), _packed(docs[used])))
             if len(again):
                 used = np.unique(np.searchsorted(first, again, side="right") - 1)
-                out.append((-1 - int(hashes[0] % np.uint64(buckets)), b"", again.astype(np.uint32).tobytes(), docs[used].tobytes()))
+                out.append((-1 - int(hashes[0] % np.uint64(buckets)), b"", _planes(np.diff(again, prepend=0).astype(np.uint32)), _packed(docs[used])))
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["bucket", "hashes", "starts", "docs"])
 
@@ -142,13 +157,14 @@ def hashed(texts: DataFrame, of: Hashing, buckets: int, every: bool) -> DataFram
 
 def _repeated(held: list[tuple[bytes, bytes, bytes]], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, key, offset) of a bucket's starts whose hash also starts earlier, or elsewhere if ``every``; sorted."""
-    hashes = np.concatenate([np.cumsum(_from_planes(h, np.uint64)) for h, _, _ in held])
+    # seven bytes of each hash travel: the eighth is the bucket's but for some bits
+    hashes = np.concatenate([_from_planes(h + bytes(len(h) // 7), np.uint64) for h, _, _ in held])
     by = np.argsort(hashes)
     a, b = runs(hashes[by])
     many = b - a > 1
     at = by[spread(a[many], (b - a)[many])]
     group = np.repeat(np.arange(int(many.sum())), (b - a)[many])
-    places = [_located(_from_planes(s, np.uint32).astype(np.int64), np.frombuffer(d, np.int64).reshape(-1, 3)) for _, s, d in held]
+    places = [_places(s, d) for _, s, d in held]
     ids, keys, offsets = (np.concatenate([p[i] for p in places])[at] for i in range(3))
     order = np.lexsort((offsets, keys, ids, group))
     ids, keys, offsets, group = ids[order], keys[order], offsets[order], group[order]
@@ -174,13 +190,14 @@ def counted(sent: DataFrame, every: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["id", "key", "found"])
 
         for batch in batches:
-            for bucket, hashes, starts, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                bucket, hashes, starts, docs = (c[i].as_py() for c in batch.columns)
                 if bucket != now and held:
                     yield out(*_repeated(held, every))
                     held = []
                 now = bucket
                 if bucket < 0:
-                    yield out(*_located(np.frombuffer(starts, np.uint32).astype(np.int64), np.frombuffer(docs, np.int64).reshape(-1, 3)))
+                    yield out(*_places(starts, docs))
                 else:
                     held.append((hashes, starts, docs))
         if held:
