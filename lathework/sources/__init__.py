@@ -1 +1,6 @@
+"""Where rows come from and go to: the catalog of tables and the engine that runs queries."""
 
+from .catalog import Catalog, Manifest
+from .engine import Engine, EngineError, Options, Result
+
+__all__ = ["Catalog", "Engine", "EngineError", "Manifest", "Options", "Result"]
