@@ -152,6 +152,19 @@ OPERATORS: dict[str, type] = {
 }
 
 
+class Path(Node):
+    """A dotted path of any depth, which an entity's reader turns into columns and links."""
+
+    kind = "path"
+
+    def __init__(self, text: str, is_array: bool = False):
+        self.parts, self.is_array = text.split("."), is_array
+
+
+def _left(column: str, is_array: bool) -> Node:
+    return Field(column, is_array=is_array) if column.count(".") < 3 else Path(column, is_array)
+
+
 def as_conditions(items: Iterable[Any]) -> list[Node]:
     out: list[Node] = []
     for item in items:
@@ -182,5 +195,5 @@ def from_filter(filter_: Mapping[str, Any]) -> list[Node]:
             kind = OPERATORS.get(operator.lower())
             if kind is None:
                 raise ValueError(f'Unknown operator "{operator}"')
-            out.append(kind(Field(column, is_array=is_array), value))
+            out.append(kind(_left(column, is_array), value))
     return out
