@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meeting, suffix
-from .common import merged, mixed, runs, spread, text_bytes
+from .common import merged, mixed, runs, spread
 from .window_dedup import BUCKET, counted, hashed, rolling
 
 LENGTH, GRAM = 400, 32
@@ -59,16 +59,12 @@ def _anchor_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 _PIECES = "bucket int, data binary, meta binary"
 
 
-def _pieces(texts: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
+def _pieces(texts: DataFrame, candidates: DataFrame, groups: int, buckets: int) -> DataFrame:
     """Pieces around repeated anchors by bucket; ``meta`` has rows (id, key, first string's offset, bytes).
 
     Equal pieces of a chunk are sent once. Their strings are repeated for certain: those go as rows under
     a negative bucket, without data.
     """
-    sides = texts.select("id", "key", F.lit(1).alias("side"), F.col("text").cast("binary").alias("value")).unionByName(
-        candidates.select("id", "key", F.lit(0).alias("side"), F.col("found").alias("value"))
-    )
-
     def cut(held: list[tuple[int, int, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         raw = np.frombuffer(b"".join(t for _, _, t, _ in held), np.uint8)
         off = np.append(0, np.cumsum([len(t) for _, _, t, _ in held]))
@@ -96,31 +92,21 @@ def _pieces(texts: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "data", "meta"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, done, found = None, False, []
         held: list[tuple[int, int, bytes, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
+        size, done = 0, set()
+        for id_, key, text, found in meeting.documents(batches):
+            if not found or (id_, key) in done:  # a repeated row is the same document
                 continue
-            ids, keys, side = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(3))
-            raw, off = text_bytes(batch.column(3))
-            view, off = memoryview(raw), off.tolist()
-            for i in range(batch.num_rows):
-                if key != (ids[i], keys[i]):
-                    key, done, found = (ids[i], keys[i]), False, []
-                if side[i] == 0:
-                    found.append(np.frombuffer(bytes(view[off[i] : off[i + 1]]), np.uint32).astype(np.int64))
-                elif found and not done:  # a repeated row is the same document
-                    held.append((*key, bytes(view[off[i] : off[i + 1]]), np.concatenate(found)))
-                    done = True
-                    size += off[i + 1] - off[i]
-                    if size >= CHUNK:
-                        yield from cut(held)
-                        held, size = [], 0
+            done.add((id_, key))
+            held.append((id_, key, text, np.concatenate(found).astype(np.int64)))
+            size += len(text)
+            if size >= CHUNK:
+                yield from cut(held)
+                held, size = [], 0
         if held:
             yield from cut(held)
 
-    return sides.repartition("id", "key").sortWithinPartitions("id", "key", "side").mapInArrow(kernel, _PIECES)
+    return meeting.sides(texts, candidates, groups).mapInArrow(kernel, _PIECES)
 
 
 def _classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,15 +186,13 @@ def _merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
                 shards[k][4][shards[k][2][spread(first[rows], count[rows])]] = True
 
 
-_FOUND = "id long, key long, found binary"
-
-
-def _marked(sent: DataFrame) -> DataFrame:
+def _marked(sent: DataFrame, groups: int) -> DataFrame:
     """Findings: byte intervals (start, end) to remove, as pairs of 32-bit numbers."""
 
     def out(meta: np.ndarray, spans: list[np.ndarray]) -> pa.RecordBatch:
-        flat = [x.astype(np.uint32).tobytes() for x in spans]
-        return pa.RecordBatch.from_arrays([pa.array(meta[:, 0]), pa.array(meta[:, 1]), pa.array(flat, pa.binary())], names=["id", "key", "found"])
+        sizes = np.array([len(x) for x in spans], np.int64)
+        flat = np.concatenate(spans) if spans else np.zeros(0, np.int64)
+        return meeting.packed(np.repeat(meta[:, 0], sizes), np.repeat(meta[:, 1], sizes), flat, groups)
 
     def bucket_of(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         meta = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 4) for _, m in held])
@@ -251,7 +235,7 @@ def _marked(sent: DataFrame) -> DataFrame:
         if held:
             yield bucket_of(held)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kernel, _FOUND)
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
 
 
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,11 +248,12 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    candidates = counted(hashed(texts, _anchor_hashes, max(1, math.ceil(total / (12 * BUCKET))), every=True), every=True)
-    found = _marked(_pieces(texts, candidates, max(1, math.ceil(total / PIECES))))
+    groups = meeting.groups_for(total)
+    candidates = counted(hashed(texts, _anchor_hashes, max(1, math.ceil(total / (12 * BUCKET))), every=True), True, groups)
+    found = _marked(_pieces(texts, candidates, groups, max(1, math.ceil(total / PIECES))), groups)
 
-    def finish(text: bytes, findings: list[bytes]) -> tuple[int, int, int, str]:
-        pairs = np.concatenate([np.frombuffer(f, np.uint32) for f in findings]).astype(np.int64).reshape(-1, 2) if findings else np.zeros((0, 2), np.int64)
+    def finish(text: bytes, findings: list[np.ndarray]) -> tuple[int, int, int, str]:
+        pairs = np.concatenate(findings).astype(np.int64).reshape(-1, 2) if findings else np.zeros((0, 2), np.int64)
         s, e = merged(pairs[:, 0], pairs[:, 1])
         kept, at = hashlib.sha256(), 0
         for a, b in zip(s.tolist(), e.tolist(), strict=True):
@@ -277,4 +262,4 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         kept.update(text[at:])
         return len(text), int((e - s).sum()), len(s), kept.hexdigest()
 
-    return meeting.meet(texts, found, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col)
+    return meeting.meet(texts, found, groups, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col)

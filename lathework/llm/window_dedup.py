@@ -156,7 +156,7 @@ def hashed(texts: DataFrame, of: Hashing, buckets: int, every: bool) -> DataFram
 
 
 def _repeated(held: list[tuple[bytes, bytes, bytes]], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, key, offset) of a bucket's starts whose hash also starts earlier, or elsewhere if ``every``; sorted."""
+    """(id, key, offset) of a bucket's starts whose hash also starts earlier, or elsewhere if ``every``."""
     # seven bytes of each hash travel: the eighth is the bucket's but for some bits
     hashes = np.concatenate([_from_planes(h + bytes(len(h) // 7), np.uint64) for h, _, _ in held])
     by = np.argsort(hashes)
@@ -173,37 +173,30 @@ def _repeated(held: list[tuple[bytes, bytes, bytes]], every: bool) -> tuple[np.n
     later = (ids != ids[low]) | (keys != keys[low]) | (offsets != offsets[low])
     if every:
         later = np.repeat(np.logical_or.reduceat(later, starts), ends - starts) if len(later) else later
-    ids, keys, offsets = ids[later], keys[later], offsets[later]
-    order = np.lexsort((offsets, keys, ids))
-    return ids[order], keys[order], offsets[order]
+    return ids[later], keys[later], offsets[later]
 
 
-def counted(sent: DataFrame, every: bool) -> DataFrame:
-    """Findings ``(id, key, found)``: offsets of the repeated starts, as 32-bit numbers."""
+def counted(sent: DataFrame, every: bool, groups: int) -> DataFrame:
+    """Findings for ``meeting``: offsets of the repeated starts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
         held: list[tuple[bytes, bytes, bytes]] = []
-
-        def out(ids: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-            rows = meeting.rows_by_document(ids, keys, offsets.astype(np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["id", "key", "found"])
-
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket, hashes, starts, docs = (c[i].as_py() for c in batch.columns)
                 if bucket != now and held:
-                    yield out(*_repeated(held, every))
+                    yield meeting.packed(*_repeated(held, every), groups)
                     held = []
                 now = bucket
                 if bucket < 0:
-                    yield out(*_places(starts, docs))
+                    yield meeting.packed(*_places(starts, docs), groups)
                 else:
                     held.append((hashes, starts, docs))
         if held:
-            yield out(*_repeated(held, every))
+            yield meeting.packed(*_repeated(held, every), groups)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kernel, "id long, key long, found binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -217,18 +210,18 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = counted(hashed(texts, windows(window), max(1, math.ceil(total / BUCKET)), every=False), every=False)
+    groups = meeting.groups_for(total)
+    found = counted(hashed(texts, windows(window), max(1, math.ceil(total / BUCKET)), every=False), False, groups)
 
-    def finish(text: bytes, findings: list[bytes]) -> tuple[int, int, str]:
+    def finish(text: bytes, findings: list[np.ndarray]) -> tuple[int, int, str]:
         words = text.split()
         if not findings:
             return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
         cover = np.zeros(len(words) + 1, np.int64)
-        for value in findings:
-            at = np.frombuffer(value, np.uint32)
+        for at in findings:
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)
         keep = np.cumsum(cover[:-1]) == 0
         return len(words), int(len(words) - keep.sum()), hashlib.sha256(b" ".join(compress(words, keep.tolist()))).hexdigest()
 
-    return meeting.meet(texts, found, finish, "n_words long, n_removed long, kept_sha256 string", id_col)
+    return meeting.meet(texts, found, groups, finish, "n_words long, n_removed long, kept_sha256 string", id_col)
