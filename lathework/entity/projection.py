@@ -61,6 +61,14 @@ def _path(text: str, at: int, target: dict[str, Item]) -> int:
 
 def wanted(names: list[str], tree: dict[str, Item], exclusive: Any) -> list[str]:
     """Names to read of the declared ``names``: all but exclusive ones and ± the signed, if every top item is signed; else those listed."""
-    if not tree or all(i.sign for i in tree.values()):
-        return [n for n in names if (n.lower() not in tree and not exclusive(n)) or (n.lower() in tree and (tree[n.lower()].sign != "-" or tree[n.lower()].children))]
-    return [n for n in names if n.lower() in tree and (tree[n.lower()].sign != "-")]
+    by_default = all(item.sign for item in tree.values())
+    out = []
+    for name in names:
+        item = tree.get(name.lower())
+        if item is None:
+            take = by_default and not exclusive(name)
+        else:
+            take = item.sign != "-"
+        if take:
+            out.append(name)
+    return out

@@ -159,7 +159,9 @@ class Catalog:
         places = hit.groupBy(F.col("_metadata.file_path").alias("file")).count().collect()  # one row per affected file
         if not places:
             return 0, hit
-        affected = {p["file"] for p in places}
+        # the same local file may be spelled file:/ or file:///
+        known = {f.replace("file:///", "file:/", 1): f for f in now.files}
+        affected = {known.get(p["file"].replace("file:///", "file:/", 1), p["file"]) for p in places}
         keep = tuple(f for f in now.files if f not in affected)
         if len(keep) + len(affected) != len(now.files):  # a store that spells its paths otherwise: rewrite all
             keep, affected = (), set(now.files)
