@@ -40,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """Rows to ``parts`` partitions by a number in turn, so that near numbers never share one by chance."""
+    return df.repartitionById(parts, F.pmod(F.col(column), F.lit(parts)).cast("int"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``new_path`` through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

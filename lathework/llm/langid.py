@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ from .common import chunks, text_bytes
 
 #: Hashed n-gram dimensions.
 DIMS = 1 << 13
-#: Most training documents from which centroids and thresholds are fitted, over all languages. The
+#: Training documents, about, from which centroids and thresholds are fitted, over all languages. The
 #: document frequencies come from all training documents.
 SAMPLE = 2000
 CENTROIDS = 4
@@ -137,8 +137,8 @@ def _spherical(x: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Learn from documents that are not held out and have a language and a letter; None if there are none.
 
-    Document frequencies cover all of them. Centroids are fitted on at most ``sample`` documents, an
-    equal share for each language, those with the smallest hashes of their ids.
+    Document frequencies cover all of them. Centroids are fitted on about ``sample`` documents (twice as
+    many at most), an equal share for each language, drawn by a hash of their ids.
     """
     train = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & has_letter(text_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     frequency = _document_frequencies(train, "_text")
@@ -148,9 +148,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 
-    languages = train.select("_lang").distinct().count()
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    ids = train.select("_id", "_lang").withColumn("_rank", rank).where(F.col("_rank") <= max(8, sample // languages)).select("_id", "_lang")
+    sizes = {r["_lang"]: r["count"] for r in train.groupBy("_lang").count().toLocalIterator()}  # a row per language
+    share = max(8, sample // len(sizes))
+    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share / n))]), F.col("_lang"))
+    drawn = F.shiftrightunsigned(F.xxhash64("_id"), 11) * F.lit(2.0**-53) < rate
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, "_text"):
@@ -162,8 +163,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 values.append(np.minimum(row[at], 65535).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([part.column("_lang"), pa.array(dims, pa.binary()), pa.array(values, pa.binary())], names=["_lang", "dims", "n"])
 
-    chosen = train.join(F.broadcast(ids), ["_id", "_lang"]).mapInArrow(kernel, "_lang string, dims binary, n binary")
-    rows = sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.toLocalIterator()))[: 2 * sample + 8 * languages]
+    chosen = train.where(drawn).mapInArrow(kernel, "_lang string, dims binary, n binary")
+    rows = sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.toLocalIterator()))[: 2 * sample + 16 * len(sizes)]
     names = sorted({r[0] for r in rows})
     x = np.zeros((len(rows), DIMS), np.int32)
     for i, (_, dims, n) in enumerate(rows):

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, text_bytes
+from .common import dealt, runs, text_bytes
 
 NO_ID = 2**63 - 1
 #: Text bytes that one group stands for.
-GROUP = 16 << 20
+GROUP = 8 << 20
 _ROWS = 2048
 
 FOUND = "group int, found binary"
@@ -64,7 +64,7 @@ def sides(texts: DataFrame, findings: DataFrame, groups: int) -> DataFrame:
     """Texts of ``keyed`` and findings, dealt by group, a group's findings first."""
     own = texts.select(F.pmod("key", F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("side"), "id", "key", F.col("text").cast("binary").alias("value"))
     other = findings.select("group", F.lit(0).alias("side"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("key"), F.col("found").alias("value"))
-    return own.unionByName(other).repartition("group").sortWithinPartitions("group", "side")
+    return dealt(own.unionByName(other), "group", groups).sortWithinPartitions("group", "side")
 
 
 def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[np.ndarray]]]:

@@ -60,5 +60,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_language_id, op4_source_mixing, op5_simhash_golay, op6_pii, op7_decontamination, op8_window_dedup, op9_warc, op10_suffix_dedup)}
 
 
+#: SQL for the operators that SQL can express on whole tables; the others are tested against brute force.
+ORACLES = {
+    "op7_decontamination": r"""
+with cut as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+items as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+windows as (select distinct item, least(len(w), 10) n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') k from (select *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from items where len(w) > 0)),
+sizes as (select distinct n from windows),
+starts as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from cut, sizes where len(w) >= n)),
+hits as (select doc_id, i, s.n, item from starts s join windows using (n, k)),
+words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from (select distinct doc_id, i, n from hits)) group by doc_id),
+found as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) list from hits group by doc_id)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(list, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from cut left join words using (doc_id) left join found using (doc_id)""",
+    "op8_window_dedup": r"""
+with cut as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+starts as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) k from (select doc_id, w, unnest(range(1, len(w) - 18)) i from cut where len(w) >= 20)),
+late as (select doc_id, i from (select *, row_number() over (partition by k order by doc_id, i) r from starts) where r > 1),
+gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest(range(i, i + 20)) p from late) group by doc_id)
+select doc_id, len(w) n_words, coalesce(len(ps), 0) n_removed,
+  sha256(array_to_string(case when ps is null then w else list_filter(w, lambda x, j: not list_contains(ps, j)) end, ' ')) kept_sha256
+from cut left join gone using (doc_id)""",
+    "op9_warc": """
+with page as (select page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d from pages),
+firsts as (select d, min(page_id) f from page where n >= 100 group by d)
+select page_id, n payload_bytes, page.d payload_digest, case when f <> page_id then 'revisit' else 'response' end record_type, case when f <> page_id then f end refers_to
+from page left join firsts on firsts.d = page.d and n >= 100""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meeting, suffix
-from .common import merged, mixed, runs, spread
+from .common import dealt, merged, mixed, runs, spread
 from .window_dedup import BUCKET, counted, hashed, rolling
 
 LENGTH, GRAM = 400, 32
@@ -186,7 +186,7 @@ def _merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
                 shards[k][4][shards[k][2][spread(first[rows], count[rows])]] = True
 
 
-def _marked(sent: DataFrame, groups: int) -> DataFrame:
+def _marked(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
     """Findings: byte intervals (start, end) to remove, as pairs of 32-bit numbers."""
 
     def out(meta: np.ndarray, spans: list[np.ndarray]) -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def _marked(sent: DataFrame, groups: int) -> DataFrame:
         if held:
             yield bucket_of(held)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
+    return dealt(sent, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
 
 
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,8 +249,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = meeting.groups_for(total)
-    candidates = counted(hashed(texts, _anchor_hashes, max(1, math.ceil(total / (12 * BUCKET))), every=True), True, groups)
-    found = _marked(_pieces(texts, candidates, groups, max(1, math.ceil(total / PIECES))), groups)
+    buckets, pieces = max(1, math.ceil(total / (12 * BUCKET))), max(1, math.ceil(total / PIECES))
+    candidates = counted(hashed(texts, _anchor_hashes, buckets, every=True), buckets, True, groups)
+    found = _marked(_pieces(texts, candidates, groups, pieces), pieces, groups)
 
     def finish(text: bytes, findings: list[np.ndarray]) -> tuple[int, int, int, str]:
         pairs = np.concatenate(findings).astype(np.int64).reshape(-1, 2) if findings else np.zeros((0, 2), np.int64)

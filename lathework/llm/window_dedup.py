@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meeting
-from .common import gathered, mixed, runs, spread, text_bytes
+from .common import dealt, gathered, mixed, runs, spread, text_bytes
 
 WINDOW = 20
 #: Text bytes hashed at once by a map task, and text bytes that one hash bucket stands for.
@@ -176,7 +176,7 @@ def _repeated(held: list[tuple[bytes, bytes, bytes]], every: bool) -> tuple[np.n
     return ids[later], keys[later], offsets[later]
 
 
-def counted(sent: DataFrame, every: bool, groups: int) -> DataFrame:
+def counted(sent: DataFrame, buckets: int, every: bool, groups: int) -> DataFrame:
     """Findings for ``meeting``: offsets of the repeated starts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def counted(sent: DataFrame, every: bool, groups: int) -> DataFrame:
         if held:
             yield meeting.packed(*_repeated(held, every), groups)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
+    return dealt(sent, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -211,7 +211,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = meeting.groups_for(total)
-    found = counted(hashed(texts, windows(window), max(1, math.ceil(total / BUCKET)), every=False), False, groups)
+    buckets = max(1, math.ceil(total / BUCKET))
+    found = counted(hashed(texts, windows(window), buckets, every=False), buckets, False, groups)
 
     def finish(text: bytes, findings: list[np.ndarray]) -> tuple[int, int, str]:
         words = text.split()
