@@ -3,7 +3,8 @@
 Each task turns its documents into shards: word numbers from the benchmark's vocabulary, of which only
 stretches of known words that are long enough to hold a window remain (a word outside the vocabulary
 ends every match, so nothing is lost). The shard's suffix array is built and every benchmark suffix is
-searched in it, cut at the window length; the stretch found gives all verbatim occurrences.
+searched in it, cut at the window length; the stretch found gives all verbatim occurrences. Occurrences
+that follow each other in the document and in the item join up to the longest verbatim matches.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Benchmark windows: word numbers, padded rows, and the items of each distinct window."""
+    """Benchmark windows: word numbers, padded rows, and the items and places of each distinct window.
+
+    Places count the words of all items of the block, with one word between items.
+    """
 
     vocabulary: dict[bytes, int]
     windows: np.ndarray
@@ -43,6 +47,10 @@ class Block:
     items: np.ndarray
     names: list[str]
     sequences: list[np.ndarray]
+    place_starts: np.ndarray
+    places: np.ndarray
+    place_names: list[str]
+    item_places: np.ndarray
 
 
 def _block(rows: list[tuple[str, list[bytes]]], window: int) -> Block:
@@ -50,19 +58,26 @@ def _block(rows: list[tuple[str, list[bytes]]], window: int) -> Block:
     names = sorted({name for name, _ in rows})
     number = {name: i for i, name in enumerate(names)}
     of: dict[tuple[int, ...], set[int]] = {}
-    sequences = []
+    places: dict[tuple[int, ...], list[int]] = {}
+    sequences, firsts, at = [], [], 0
     for name, words in rows:
+        firsts.append(at)
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
         sequences.append(np.array(ids, np.int32))
         for i in range(max(1, len(ids) - window + 1)):
             of.setdefault(tuple(ids[i : i + window]), set()).add(number[name])
+            places.setdefault(tuple(ids[i : i + window]), []).append(at + i)
+        at += len(ids) + 1
     table = np.zeros((len(of), window), np.int32)
     lengths = np.zeros(len(of), np.int64)
     for i, w in enumerate(of):
         table[i, : len(w)] = w
         lengths[i] = len(w)
     counts = np.array([len(x) for x in of.values()], np.int64)
-    return Block(vocabulary, table, lengths, np.append(0, np.cumsum(counts)), np.array([i for x in of.values() for i in sorted(x)], np.int64), names, sequences)
+    return Block(
+        vocabulary, table, lengths, np.append(0, np.cumsum(counts)), np.array([i for x in of.values() for i in sorted(x)], np.int64), names, sequences,
+        np.append(0, np.cumsum([len(x) for x in places.values()])).astype(np.int64), np.array([i for x in places.values() for i in x], np.int64), [name for name, _ in rows], np.array(firsts, np.int64),
+    )
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -84,11 +99,15 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most:
 
 @dataclass
 class Found:
-    """Per document of a chunk: words, hit stretches (flat starts and ends) and item names."""
+    """Per document of a chunk: words, hit stretches (flat starts and ends), item names, and the longest match.
+
+    A longest match is ``words:offset in the document:item``, the first of the longest; empty if there is none.
+    """
 
     words: np.ndarray
     spans: list[np.ndarray]
     items: list[list[str]]
+    longest: list[str]
 
 
 def scan(texts: Iterator[bytes], n_docs: int, block: Block) -> Found:
@@ -100,7 +119,7 @@ def scan(texts: Iterator[bytes], n_docs: int, block: Block) -> Found:
         numbers.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
         numbers.append(np.zeros(1, np.int32))
     tokens = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-    found = Found(size, [np.zeros(0, np.int64)] * n_docs, [[] for _ in range(n_docs)])
+    found = Found(size, [np.zeros(0, np.int64)] * n_docs, [[] for _ in range(n_docs)], [""] * n_docs)
     first = np.cumsum(size + 1) - (size + 1)
     starts, ends = runs(tokens > 0)
     long = (tokens[starts] > 0) & (ends - starts >= (block.lengths.min() if len(block.lengths) else 1))
@@ -132,41 +151,31 @@ def scan(texts: Iterator[bytes], n_docs: int, block: Block) -> Found:
     pair = np.unique(np.repeat(np.searchsorted(first, at, side="right") - 1, n_items) * len(block.names) + item)
     for p in pair.tolist():
         found.items[p // len(block.names)].append(block.names[p % len(block.names)])
+    _join_up(found, block, at, which, first)
     return found
 
 
-def longest_matches(texts: list[bytes], block: Block, at_least: int = 1) -> list[tuple[int, int, int, int, int]]:
-    """Longest verbatim match of every benchmark suffix in a shard of texts, with one location.
+def _join_up(found: Found, block: Block, at: np.ndarray, which: np.ndarray, first: np.ndarray) -> None:
+    """Longest matches: occurrences whose document and benchmark places advance together are one match."""
+    n = (block.place_starts[1:] - block.place_starts[:-1])[which]
+    place = block.places[spread(block.place_starts[which], n)]
+    at, size = np.repeat(at, n), np.repeat(block.lengths[which], n)
+    order = np.lexsort((at, place - at))
+    at, place, size = at[order], place[order], size[order]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(place - at) != 0) | (np.diff(at) != 1))))
+    last = np.append(new[1:], len(at)) - 1
+    words = at[last] - at[new] + size[last]
+    doc = np.searchsorted(first, at[new], side="right") - 1
+    best = np.lexsort((at[new], -words, doc))
+    lead = best[np.concatenate(([True], doc[best][1:] != doc[best][:-1]))]
+    item = np.searchsorted(block.item_places, place[new][lead], side="right") - 1
+    for d, w, a, i in zip(doc[lead].tolist(), words[lead].tolist(), (at[new][lead] - first[doc[lead]]).tolist(), item.tolist(), strict=True):
+        found.longest[d] = f"{w}:{a}:{block.place_names[i]}"
 
-    Rows ``(sequence, its word offset, document, its word offset, words)`` for matches of ``at_least``
-    words that a suffix starting one word earlier does not already cover.
-    """
-    get = block.vocabulary.get
-    parts, owner, offset = [], [], []
-    for d, text in enumerate(texts):
-        ids = np.array([get(w, 0) for w in words_of(text)] + [0], np.int32)
-        parts.append(ids)
-        owner.append(np.full(len(ids), d))
-        offset.append(np.arange(len(ids)))
-    if not parts:
-        return []
-    shard, own, off = (np.concatenate(x) for x in (parts, owner, offset))
-    sa, _ = suffix.of_tokens(shard)
-    found = []
-    for q, sequence in enumerate(block.sequences):
-        before = 0
-        for i in range(len(sequence)):
-            rest = sequence[i:]
-            lo, hi, best, at = 0, 1, 0, 0
-            while hi > lo and best < len(rest):
-                lows, highs = suffix.bounds(shard, sa, rest[None, : best + 1], np.array([best + 1]))
-                lo, hi = int(lows[0]), int(highs[0])
-                if hi > lo:
-                    best, at = best + 1, int(sa[lo])
-            if best >= at_least and best >= before:
-                found.append((q, i, int(own[at]), int(off[at]), best))
-            before = best
-    return found
+
+def _longer(a: str, b: str) -> str:
+    rank = lambda x: (-int(x.split(":")[0]), int(x.split(":")[1])) if x else (0, 0)
+    return min(a, b, key=rank)
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,34 +183,35 @@ def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(merged(both[:, 0], both[:, 1]), 1).ravel()
 
 
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match string"
 
 
 def _annotated(docs: DataFrame, all_blocks: list[Block], text_col: str, finish, schema: str) -> DataFrame:
     """Run the blocks over the documents in one or several passes; ``finish(batch, Found)`` makes the rows."""
-    empty = all_blocks or [_block([], 10)]
-    for i, block in enumerate(empty):
-        last = i == len(empty) - 1
+    passes = all_blocks or [_block([], 10)]
+    for i, block in enumerate(passes):
+        last = i == len(passes) - 1
         fields = docs.schema
 
         def kernel(batches: Iterator[pa.RecordBatch], block: Block = block, first: bool = i == 0, last: bool = last) -> Iterator[pa.RecordBatch]:
             for part in gathered(batches, text_col, CHUNK_BYTES):
                 found = scan(docs_of(*text_bytes(part.column(text_col))), part.num_rows, block)
                 if not first:
-                    spans, items = part.column("_spans").to_pylist(), part.column("_items").to_pylist()
+                    spans, items, longest = (part.column(c).to_pylist() for c in ("_spans", "_items", "_longest"))
+                    found.longest = [_longer(a, b) for a, b in zip(longest, found.longest, strict=True)]
                     found.spans = [_union(a, b) for a, b in zip(spans, found.spans, strict=True)]
                     found.items = [sorted({*a, *b}) for a, b in zip(items, found.items, strict=True)]
-                    part = part.drop_columns(["_spans", "_items"])
+                    part = part.drop_columns(["_spans", "_items", "_longest"])
                 if last:
                     yield finish(part, found)
                 else:
                     spans = pa.array([x.tolist() for x in found.spans], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, spans, pa.array(found.items, pa.list_(pa.string()))], names=[*part.schema.names, "_spans", "_items"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, spans, pa.array(found.items, pa.list_(pa.string())), pa.array(found.longest, pa.string())], names=[*part.schema.names, "_spans", "_items", "_longest"])
 
         if last:
             return docs.mapInArrow(kernel, schema)
         if i == 0:
-            fields = T.StructType([*fields.fields, T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
+            fields = T.StructType([*fields.fields, T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_longest", T.StringType())])
         docs = docs.mapInArrow(kernel, fields)
     raise AssertionError
 
@@ -209,7 +219,7 @@ def _annotated(docs: DataFrame, all_blocks: list[Block], text_col: str, finish,
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """One row per document: ``id, n_words, n_hit, n_items, items_sha256, contaminated``.
+    """One row per document: ``id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match``.
 
     A window is ``window`` consecutive words of an item; shorter items are one window. ``n_hit`` counts
     the document's words inside any occurrence of a window. Null or wordless texts have no words and no
@@ -224,8 +234,8 @@ def decontaminate(
         hit = np.array([int((x[1::2] - x[::2]).sum()) for x in found.spans], np.int64)
         digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found.items]
         return pa.RecordBatch.from_arrays(
-            [part.column(id_col), pa.array(found.words), pa.array(hit), pa.array([len(x) for x in found.items], pa.int64()), pa.array(digest, pa.string()), pa.array(hit > 0)],
-            names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [part.column(id_col), pa.array(found.words), pa.array(hit), pa.array([len(x) for x in found.items], pa.int64()), pa.array(digest, pa.string()), pa.array(hit > 0), pa.array(found.longest, pa.string())],
+            names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
         )
 
     return _annotated(docs.select(id_col, text_col), found_blocks, text_col, finish, schema)

@@ -132,7 +132,10 @@ def test_decontamination(spark, block_words):
     assert decontaminate.decontaminate(docs.limit(0), benchmark).count() == 0
 
 
-def test_longest_matches():
-    block = decontaminate._block([("a", decontaminate.words_of(brute.passage(1, 12).encode()))], 10)
-    found = decontaminate.longest_matches([b"zz " + brute.passage(1, 7).encode(), brute.passage(1, 12).encode()[20:]], block, 3)
-    assert (0, 0, 0, 1, 7) in found and max(f[4] for f in found) >= 7
+def test_longest_matches(spark):
+    items = spark.createDataFrame([(1, brute.passage(1, 40)), (2, brute.passage(1, 40) + " " + brute.passage(2, 20))], "item_id long, text string")
+    words = brute.passage(1, 40).split()
+    docs = [(0, " ".join(["x"] * 5 + words[3:30])), (1, " ".join(words[:12] + ["y"] + words[12:40] + brute.passage(2, 20).split())), (2, "none")]
+    for block_words in (400_000, 30):
+        got = {r.doc_id: r.longest_match for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words).collect()}
+        assert got == {0: "27:5:1", 1: "48:13:2", 2: ""}
