@@ -164,6 +164,8 @@ class Engine:
         own = Options(**options).over(self.defaults)
         began = time.perf_counter()
         try:
+            if isinstance(query, queries.Query) and query.comments:
+                self.spark.sparkContext.setJobDescription("\n".join(t for t, d in query.comments if not d or "spark" in d))
             if own.action:
                 self.spark.sparkContext.setJobDescription(own.action)
             request = {"query": query, "params": dict(params or {}), "options": own}
@@ -173,6 +175,8 @@ class Engine:
             self.emit("execute", request)
             params = request["params"]
             if isinstance(query, (queries.Insert, queries.Update, queries.Delete)):
+                if not own.auto_commit and not self.catalog.in_transaction:
+                    self.start_transaction()
                 out = self._write(query, params, own)
             else:
                 out = self._read(query, params, own)
@@ -205,7 +209,9 @@ class Engine:
         kind = "object" if own.object_rows else "array"
         if own.cursor:
             self.retain()
-            return Result(fields=info, row_type=kind, cursor=Cursor(df, info, shape, own.fetch_rows or 100, self.release))
+            cursor = Cursor(df, info, shape, own.fetch_rows or 100, self.release)
+            self.on("close", cursor.close)
+            return Result(fields=info, row_type=kind, cursor=cursor)
         rows = (df.limit(own.fetch_rows) if own.fetch_rows else df).collect()
         return Result(shape(rows), info, row_type=kind)
 

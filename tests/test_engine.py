@@ -90,6 +90,9 @@ def test_transactions_and_saved_manifests(spark, engine):
     engine.release_savepoint("a")
     engine.commit()
     assert count(engine) == 3 and events == ["start-transaction", "rollback", "commit"]
+    engine.execute(Delete("nation"), auto_commit=False)
+    assert engine.catalog.in_transaction
+    engine.rollback()
     other = Catalog(spark, store=engine.catalog.store)
     assert other.load("region") and other.table(None, "region").count() == 3
     with pytest.raises(ValueError):
@@ -100,3 +103,23 @@ def test_sequences_and_from_env(spark, engine):
     assert engine.execute(Select(Sequence("s").next().as_("a"), Sequence("s").as_("b"))).rows == [{"a": 1, "b": 1}]
     e = Engine.from_env(spark, "X_", {"X_FOLDER": "/nowhere", "X_FETCH_ROWS": "7"})
     assert e.catalog.folder == "/nowhere" and e.defaults.fetch_rows == 7
+
+
+def test_adapters(spark):
+    from lathework import sources
+
+    e = sources.connect(spark, driver="memory", tables={"t": ([(1, "a"), (2, None)], "k int, v string")})
+    assert e.execute(Select("k").from_("t").where({"v": None})).rows == [{"k": 2}]
+    assert sources.find_dialect("postgres").driver == "org.postgresql.Driver" and sources.find_driver("none") is None
+    other = type("Other", (), {"dialect": "other", "driver": "other", "open": lambda self, spark, **o: Engine(spark)})()
+    sources.register(other)
+    assert isinstance(sources.connect(spark, "other"), Engine)
+    sources.unregister(other)
+    with pytest.raises(ValueError):
+        sources.connect(spark, "other")
+
+
+def test_guards():
+    from lathework.operators import guards
+
+    assert guards.is_select(Select()) and guards.is_query(Union([])) and not guards.is_raw(Field("a")) and guards.is_join(LeftJoin("t")) and guards.is_aggregate(Count()) and guards.is_logical(And())
