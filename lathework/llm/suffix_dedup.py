@@ -3,9 +3,9 @@
 A repeated string of ``length`` bytes holds the same smallest hash of a short gram (its anchor) wherever
 it starts, so strings are dealt to shards by anchor. First the anchors of all documents are counted: a
 string whose anchor occurs once can't be repeated. Documents with repeated anchors send the bytes
-around each, which cover all strings that the anchor owns. A shard sorts its distinct pieces with
-Larsson-Sadakane refinement, takes common prefixes by Kasai's inequality and marks the strings that
-agree over the full length. Where a bucket holds several shards, their marked-off string classes are
+around each, which cover all strings that the anchor owns. A shard sorts the distinct pieces whose anchor
+another one shares with Larsson-Sadakane refinement, takes common prefixes by Kasai's inequality and marks
+the strings that agree over the full length. Where a bucket holds several shards, their string classes are
 merged by binary search and compared byte by byte. Marked strings meet their documents again.
 """
 
@@ -60,7 +60,7 @@ _PIECES = "bucket int, data binary, meta binary"
 
 
 def _pieces(texts: DataFrame, candidates: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """Pieces around repeated anchors by bucket; ``meta`` has rows (id, key, first string's offset, bytes).
+    """Pieces around repeated anchors by bucket; ``meta`` has rows (id, key, first string's offset, bytes, anchor).
 
     Equal pieces of a chunk are sent once. Their strings are repeated for certain: those go as rows under
     a negative bucket, without data.
@@ -72,7 +72,7 @@ def _pieces(texts: DataFrame, candidates: DataFrame, groups: int, buckets: int)
         wanted = np.isin(place, np.concatenate([c + o for (_, _, _, c), o in zip(held, off[:-1].tolist(), strict=True)]))
         hashes, place, lo, hi = (x[wanted] for x in (hashes, place, lo, hi))
         doc = np.searchsorted(off, lo, side="right") - 1
-        meta = np.stack((np.array([h[0] for h in held], np.int64)[doc], np.array([h[1] for h in held], np.int64)[doc], lo - off[doc], hi - lo + LENGTH - 1), 1)
+        meta = np.stack((np.array([h[0] for h in held], np.int64)[doc], np.array([h[1] for h in held], np.int64)[doc], lo - off[doc], hi - lo + LENGTH - 1, hashes.view(np.int64)), 1)
         data = [raw[a:b].tobytes() for a, b in zip(lo.tolist(), (hi + LENGTH - 1).tolist(), strict=True)]
         first: dict[bytes, int] = {}
         lead = np.array([first.setdefault(d, i) for i, d in enumerate(data)], np.int64)
@@ -131,6 +131,8 @@ def repeated_strings(pieces: list[bytes], length: int = LENGTH, shard: int = SHA
     Starts are those that leave ``length`` bytes. Pieces are sorted in shards of about ``shard`` bytes.
     """
     marks = [np.zeros(max(len(p) - length + 1, 0), bool) for p in pieces]
+    if not pieces:
+        return marks
     groups: list[list[int]] = [[]]
     size = 0
     for i, p in enumerate(pieces):
@@ -166,7 +168,7 @@ def _merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
         first, last = runs(number)
         lead = order[first]
         key = mixed(rolling(data.astype(np.uint64) + np.uint64(1), lead, lead + length, _BASE))
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         tables.append((key[by], lead[by], first[by], (last - first)[by], suffix.byte_keys(data)))
     # words at these offsets cover a string: every eight bytes, and the last eight
     offsets = [*range(0, length - 7, 8), length - 8]
@@ -195,18 +197,22 @@ def _marked(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
         return meeting.packed(np.repeat(meta[:, 0], sizes), np.repeat(meta[:, 1], sizes), flat, groups)
 
     def bucket_of(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        meta = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 4) for _, m in held])
+        meta = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 5) for _, m in held])
         pieces, owners = [], {}
         for data, m in held:
             at = 0
-            for n in np.frombuffer(m, np.int64).reshape(-1, 4)[:, 3].tolist():
+            for n in np.frombuffer(m, np.int64).reshape(-1, 5)[:, 3].tolist():
                 pieces.append(data[at : at + n])
                 at += n
         for i, p in enumerate(pieces):
             owners.setdefault(p, []).append(i)
-        marks = repeated_strings(list(owners))
+        # only pieces of one anchor can hold equal strings: one that is its anchor's sole distinct piece is not sorted
+        _, anchor, count = np.unique(meta[[own[0] for own in owners.values()], 4], return_inverse=True, return_counts=True)
+        several = (count[anchor] > 1).tolist()
+        sorted_ = iter(repeated_strings([p for p, s in zip(owners, several, strict=True) if s]))
         rows, spans = [], []
-        for mark, own in zip(marks, owners.values(), strict=True):
+        for (piece, own), partner in zip(owners.items(), several, strict=True):
+            mark = next(sorted_) if partner else np.zeros(len(piece) - LENGTH + 1, bool)
             if len(own) > 1:
                 mark = np.ones(len(mark), bool)
             if mark.any():
@@ -228,8 +234,8 @@ def _marked(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
                     held = []
                 now = bucket
                 if bucket < 0:
-                    rows = np.frombuffer(meta, np.int64).reshape(-1, 4)
-                    yield out(rows, [np.array([a, a + n]) for a, n in rows[:, 2:].tolist()])
+                    rows = np.frombuffer(meta, np.int64).reshape(-1, 5)
+                    yield out(rows, [np.array([a, a + n]) for a, n in rows[:, 2:4].tolist()])
                 else:
                     held.append((data, meta))
         if held:

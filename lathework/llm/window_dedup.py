@@ -133,11 +133,11 @@ def hashed(texts: DataFrame, of: Hashing, buckets: int, every: bool) -> DataFram
             docs = np.stack((ids, keys, first), 1)
             if not len(starts):
                 continue
-            by = np.argsort(hashes, kind="stable")  # starts stay in order within equal hashes
-            new = np.concatenate(([True], hashes[by[1:]] != hashes[by[:-1]]))
-            again = np.sort(starts[by[~(new & np.append(new[1:], True)) if every else ~new]])
+            by = np.argsort(hashes)
+            a, b = runs(hashes[by])
             sent = np.zeros(len(hashes), bool)
-            sent[by[new]] = True
+            sent[np.minimum.reduceat(by, a)] = True  # the earliest of equal hashes
+            again = np.sort(starts[by[np.repeat(b - a > 1, b - a)]]) if every else starts[~sent]
             hashes, starts = hashes[sent], starts[sent]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
