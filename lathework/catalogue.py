@@ -20,6 +20,7 @@ from .sources import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+OBJECTS: dict[str, tuple[Callable[[], Any], dict[str, Any]]] = {}  # of the queries that are query objects
 ORACLE: dict[str, str] = {}
 
 
@@ -33,7 +34,7 @@ def _add(name: str, make: Callable[[], Any], sql: str | None, params: dict[str,
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _engine(spark, sf_dir).dataframe(make(), params)
 
-    QUERIES[name] = run
+    QUERIES[name], OBJECTS[name] = run, (make, params or {})
     if sql:
         ORACLE[name] = sql
 
@@ -107,6 +108,7 @@ _add("or_takes_all_keys", _customers({"or": [{"c_nationkey": 1, "c_acctbal <": -
 _add("where_accumulates", lambda: Select("c_custkey").from_("customer").where({"c_nationkey": 1}).where(Gte("c_acctbal", 0), None, {}), "select c_custkey from customer where c_nationkey = 1 and c_acctbal >= 0")
 _add("exists", lambda: Select("c_custkey").from_("customer c").where(Exists(Select(Raw("1")).from_("orders o").where({"o.o_custkey": Field("c.c_custkey"), "o.o_totalprice >": 300000}))), "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000)")
 _add("not_exists", lambda: Select("c_custkey").from_("customer c").where(NotExists(Select(Raw("1")).from_("orders o").where({"o.o_custkey": Field("c.c_custkey")}))), "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+_add("raw_outer", lambda: Select("c_custkey").from_("customer c").where(Exists(Select(Raw("1")).from_("orders o").where(Raw("o.o_custkey = c.c_custkey and o.o_totalprice > 300000")))), "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000)")
 _add(
     "exists_or_exists",
     lambda: Select("n_name").from_("nation n").where(

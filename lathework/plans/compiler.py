@@ -157,6 +157,8 @@ class Compiler:
             return c.alias, self.query(c, scope).scalar()
         if isinstance(c, elements.Case) and not c.branches:
             return None
+        if isinstance(c, elements.Call) and not isinstance(c, elements.Coalesce) and any(a is None or a == "" for a in c.args if not isinstance(a, Node)):
+            return None
         return getattr(c, "alias", None), self.expression(c, scope)
 
     @staticmethod
@@ -344,6 +346,27 @@ class Compiler:
         return ~found if negated else found
 
 
+def tables_of(x: Any) -> set[str]:
+    """Names of the tables anywhere in a query."""
+    if isinstance(x, elements.Table):
+        return {x.name}
+    if isinstance(x, Node):
+        return set().union(*[tables_of(v) for k, v in vars(x).items() if k != "listeners"], set())
+    if isinstance(x, (list, tuple)):
+        return set().union(*[tables_of(v) for v in x], set())
+    return set()
+
+
+def has_raw(x: Any, depth: int = 0) -> bool:
+    """Whether raw text stands in a query within a query, where it may name the outer one's tables."""
+    if isinstance(x, elements.Raw):
+        return depth > 1
+    if isinstance(x, Node):
+        inner = depth + isinstance(x, queries.Query)
+        return any(has_raw(v, inner) for k, v in vars(x).items() if k != "listeners")
+    return isinstance(x, (list, tuple)) and any(has_raw(v, depth) for v in x)
+
+
 def _aggregates(x: Any) -> bool:
     """Whether an aggregate stands in an expression (not in a sub-select of it)."""
     if isinstance(x, _AGGREGATES):

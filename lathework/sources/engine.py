@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..operators import elements, queries
 from ..operators.base import Node
 from ..operators.types import DataType, from_spark
 from ..plans import Compiler, Scope
+from ..plans.compiler import has_raw, tables_of
 from ..streaming.cursor import Cursor
 from .catalog import Catalog
 
@@ -155,7 +157,22 @@ class Engine:
         """The query's rows, not yet computed and without any cap."""
         if isinstance(query, str):
             return self.spark.sql(query, args=dict(params or {}))
-        return self.compiler(params).query(query)
+        try:
+            return self.compiler(params).query(query)
+        except AnalysisException:
+            if not (isinstance(query, queries.Query) and has_raw(query)):
+                raise
+            return self._by_text(query, params)
+
+    def _by_text(self, query: queries.Query, params: Mapping[str, Any] | None) -> DataFrame:
+        """Through SQL text: raw text in a sub-query may name tables of the query around it, which only the parser resolves.
+
+        The query's tables become temporary views of their names.
+        """
+        for name in tables_of(query):
+            self.catalog.table(None, name).createOrReplaceTempView(name)
+        made = query.generate("spark", params)
+        return self.spark.sql(made.sql, args=made.params)
 
     def execute(self, query: Node | str, params: Mapping[str, Any] | None = None, **options: Any) -> Result:
         """Run a query; its rows are gathered up to ``fetch_rows`` (100 unless set; 0 for all)."""
