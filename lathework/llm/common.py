@@ -141,12 +141,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[at], e[np.append(at[1:] - 1, len(s) - 1)]
 
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64 finaliser over uint64 arrays."""
-    x = np.array(x, np.uint64, copy=True)
+def mixed(x: np.ndarray, own: bool = False) -> np.ndarray:
+    """SplitMix64 finaliser over uint64 arrays, in place if the array is the caller's ``own``."""
+    if not own:
+        x = np.array(x, np.uint64, copy=True)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)

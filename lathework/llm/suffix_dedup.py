@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import meeting, suffix
 from .common import dealt, merged, mixed, runs, spread
-from .window_dedup import BUCKET, counted, hashed, rolling
+from .window_dedup import BUCKET, counted, hashed, rolling, rolling_all
 
 LENGTH, GRAM = 400, 32
 #: Bytes of pieces that one suffix array takes, text bytes that one bucket of pieces stands for, and
@@ -33,22 +33,30 @@ _BASE = 0xA0761D6478BD642F
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all strings of ``length`` bytes inside the texts: (hash, place, first and last + 1 string start)."""
-    starts = spread(off[:-1], np.maximum(np.diff(off) - length + 1, 0))
     none = np.zeros(0, np.int64)
-    if not len(starts):
+    n = len(raw) - length + 1
+    if n < 1 or np.diff(off).max() < length:
         return none.astype(np.uint64), none, none, none
-    at = np.arange(len(raw) - gram + 1)
-    hashes = mixed(rolling(raw.astype(np.uint64) + np.uint64(1), at, at + gram, _BASE))
+    valid = np.ones(n, bool)  # starts whose string ends in the same text
+    for first, end in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        valid[max(first, end - length + 1) : end] = False
+    hashes = mixed(rolling_all(raw.astype(np.uint64), gram, _BASE), own=True)
     bits = np.uint64(max(len(hashes), 2).bit_length())
-    ranked = hashes >> bits << bits | at.astype(np.uint64)  # the leftmost of equal hashes is the smallest
+    ranked = hashes >> bits
+    ranked <<= bits
+    ranked |= np.arange(len(hashes), dtype=np.uint64)  # the leftmost of equal hashes is the smallest
     span = length - gram + 1
     blocks = -(-len(ranked) // span)
     ranked = np.concatenate((ranked, np.full(blocks * span - len(ranked), ~np.uint64(0)))).reshape(blocks, span)
     ahead = np.minimum.accumulate(ranked, axis=1).ravel()
     behind = np.minimum.accumulate(ranked[:, ::-1], axis=1)[:, ::-1].ravel()
-    place = (np.minimum(behind[starts], ahead[starts + span - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    a, b = runs(place)
-    return mixed(hashes[place[a]] + np.uint64(1)), place[a], starts[a], starts[b - 1] + 1  # smallest hashes lie near 0: spread them
+    place = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
+    place &= (np.uint64(1) << bits) - np.uint64(1)
+    a = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (valid[1:] != valid[:-1]))))
+    b = np.append(a[1:], n)
+    a, b = a[valid[a]], b[valid[a]]
+    at = place[a].astype(np.int64)
+    return mixed(hashes[at] + np.uint64(1)), at, a, b  # smallest hashes lie near 0: spread them
 
 
 def _anchor_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -53,6 +53,17 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
+def rolling_all(values: np.ndarray, width: int, base: int) -> np.ndarray:
+    """``rolling`` for every stretch of ``width`` values, by slices instead of lookups."""
+    n = len(values)
+    up, down = _powers(base, n)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], out=prefix[1:])
+    out = prefix[width:] - prefix[:-width]
+    out *= down[: len(out)]
+    return out
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mixed hashes of all words of the texts in a byte view, and the first word's number of each text."""
     if not len(raw):
@@ -111,7 +122,9 @@ def windows(window: int) -> Hashing:
     def of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words, first = word_hashes(raw, off)
         starts = spread(first[:-1], np.maximum(np.diff(first) - window + 1, 0))
-        return mixed(rolling(words, starts, starts + window, _WORD_BASE)), starts, first[:-1]
+        if not len(starts):
+            return np.zeros(0, np.uint64), starts, first[:-1]
+        return mixed(rolling_all(words, window, _WORD_BASE)[starts]), starts, first[:-1]
 
     return of
 
