@@ -190,9 +190,8 @@ class SparkWriter(Writer):
         own = [h for t in n.tables for d, h in getattr(t, "hints", []) if d in (None, self.dialect) and h.split("(")[0].strip().lower() in self._HINTS]
         return f"/*+ {', '.join(own)} */" if own else ""
 
-    def _insert(self, n: queries.Insert) -> str:
-        text = super()._insert(n)
-        return text if isinstance(n.source, dict) else text.replace("values (", "", 1)[:-1]
+    def inserted(self, n: queries.Insert, values: str, gap: str) -> str:
+        return super().inserted(n, values, gap) if isinstance(n.source, dict) else values
 
 
 WRITERS = {w.dialect: w for w in (SparkWriter, PostgresWriter, OracleWriter, SqliteWriter, MssqlWriter)}

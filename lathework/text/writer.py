@@ -23,6 +23,9 @@ RESERVED = frozenset(
     primary user password""".split()
 )
 
+#: Characters after which a list of pretty text goes on in a new line.
+LINE = 60
+
 Rule = Callable[["Writer", base.Node, Callable[[], str]], "str | None"]
 
 
@@ -241,7 +244,7 @@ class Writer:
         return f"{left} {n.symbol} {self.value(right)}"
 
     def _logical(self, n: predicates.Logical) -> str:
-        return f" {n.word} ".join(t for t in (self.value(i) for i in n.items) if t)
+        return self.listed([t for t in (self.value(i) for i in n.items) if t], f" {n.word}")
 
     def _not(self, n: predicates.Not) -> str:
         text = self.value(n.condition)
@@ -255,6 +258,19 @@ class Writer:
     def lines(self, *parts: str) -> str:
         return ("\n" if self.pretty else " ").join(p for p in parts if p)
 
+    def listed(self, items: list[str], separator: str = ",") -> str:
+        """Items in a row; pretty text starts an indented line once one has passed LINE characters."""
+        lines, line = [], ""
+        for i, item in enumerate(items):
+            if self.pretty and len(line) > LINE:
+                lines.append(line)
+                line = ""
+            line += (" " if line else "") + item + (separator if i < len(items) - 1 else "")
+        return "\n  ".join([*lines, line])
+
+    def nested(self, text: str) -> str:
+        return text.replace("\n", "\n  ")
+
     def _columns(self, n: queries.Select) -> str:
         out = []
         for c in n.columns:
@@ -264,7 +280,7 @@ class Writer:
                     raise ValueError("Alias required for sub-select in columns")
                 text = f"{text} {c.alias}"
             out.append(text)
-        return ", ".join(t for t in out if t) or "*"
+        return self.listed([t for t in out if t]) or "*"
 
     def _from(self, n: queries.Select) -> str:
         out = []
@@ -272,23 +288,31 @@ class Writer:
             if isinstance(t, queries.Query):
                 if not t.alias:
                     raise ValueError('Alias required for sub-select in "from"')
-                out.append(f"({self.write(t)}) {t.alias}")
+                text = f"({self.write(t)}) {t.alias}"
+                out.append("\n  " + self.nested(text) if self.pretty else text)
             else:
                 out.append(self.write(t))
-        return "from " + ",".join(out) if out else ""
+        text = ",".join(out)
+        return f"from{'' if text[:1] == chr(10) else ' '}{text}" if text else ""
 
     def hint(self, n: queries.Select) -> str:
         return ""
 
     def _body(self, n: queries.Select) -> str:
         where = self.write(n.condition) if n.condition else ""
+        columns, tables = self._columns(n), self._from(n)
+        head = " ".join(x for x in ("select", "distinct" if n.unique else "", self.hint(n)) if x)
+        broken = "\n" in columns
+        head += ("\n  " if broken else " ") + columns
+        if tables and not (self.pretty and (broken or len(columns) > LINE)):
+            head, tables = f"{head} {tables}", ""
         return self.lines(
-            " ".join(x for x in ("select", "distinct" if n.unique else "", self.hint(n), self._columns(n)) if x),
-            self._from(n),
+            head,
+            tables,
             *[self.write(j) for j in n.joins],
             f"where {where}" if where else "",
-            f"group by {', '.join(self.write(g) for g in n.groups)}" if n.groups else "",
-            f"order by {', '.join(self.value(o) for o in n.order)}" if n.order else "",
+            f"group by {self.listed([self.write(g) for g in n.groups])}" if n.groups else "",
+            f"order by {self.listed([self.value(o) for o in n.order])}" if n.order else "",
         )
 
     def _select(self, n: queries.Select) -> str:
@@ -306,16 +330,20 @@ class Writer:
 
     def _insert(self, n: queries.Insert) -> str:
         if isinstance(n.source, Mapping):
-            columns, values = ", ".join(n.source), f"values ({', '.join(self.value(v) for v in n.source.values())})"
+            columns, values = self.listed(list(n.source)), self.listed([self.value(v) for v in n.source.values()])
         else:
             names = [getattr(c, "alias", None) or getattr(c, "name", None) for c in getattr(n.source, "columns", [])]
-            columns, values = ", ".join(x for x in names if x), f"values ({self.write(n.source)})"
-        return self.lines(f"insert into {self.write(n.table)} ({columns})", values, self._returned(n))
+            columns, values = self.listed([x for x in names if x]), self.write(n.source)
+        gap = "\n  " if self.pretty else " "
+        return self.lines(f"insert into {self.write(n.table)}{gap}({self.nested(columns)})", self.inserted(n, values, gap), self._returned(n))
+
+    def inserted(self, n: queries.Insert, values: str, gap: str) -> str:
+        return f"values{gap}({self.nested(values)})"
 
     def _update(self, n: queries.Update) -> str:
         where = self.write(n.condition) if n.condition else ""
-        sets = ", ".join(f"{k} = {self.value(v)}" for k, v in n.changes.items())
-        return self.lines(f"update {self.write(n.table)} set {sets}", f"where {where}" if where else "", self._returned(n))
+        sets = self.listed([f"{k} = {self.value(v)}" for k, v in n.changes.items()])
+        return self.lines(f"update {self.write(n.table)} set{chr(10) + '  ' if self.pretty else ' '}{sets}", f"where {where}" if where else "", self._returned(n))
 
     def _delete(self, n: queries.Delete) -> str:
         where = self.write(n.condition) if n.condition else ""
