@@ -31,7 +31,7 @@ ROUNDS = 8
 #: documents with a like number of n-grams.
 REJECT_SHARE = 0.5
 #: Texts with fewer n-grams than this are too short to be rejected by their distance.
-REJECT_LEAST = 32
+REJECT_LEAST = 128
 UNKNOWN = "und"
 _ROWS = 256  # dense vectors held at once
 
