@@ -64,23 +64,29 @@ def _anchor_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, place, off[:-1]
 
 
+def _cut_bytes(raw: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """Pieces of a long text that overlap by all but one byte of a string, so that each string is in one."""
+    return [(at, min(at + most + LENGTH - 1, len(raw)), at) for at in range(0, max(len(raw) - LENGTH + 1, 1), most)]
+
+
 _PIECES = "bucket int, data binary, meta binary"
 
 
-def _pieces(texts: DataFrame, candidates: DataFrame, groups: int, buckets: int) -> DataFrame:
+def _pieces(texts: DataFrame, candidates: DataFrame, groups: int, buckets: int, chunk: int) -> DataFrame:
     """Pieces around repeated anchors by bucket; ``meta`` has rows (id, key, first string's offset, bytes, anchor).
 
     Equal pieces of a chunk are sent once. Their strings are repeated for certain: those go as rows under
     a negative bucket, without data.
     """
-    def cut(held: list[tuple[int, int, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def cut(held: list[tuple[int, int, bytes, np.ndarray]], begun: int = 0) -> Iterator[pa.RecordBatch]:
+        """Of texts, or of the part of one text that begins at ``begun``; wanted places count from its beginning."""
         raw = np.frombuffer(b"".join(t for _, _, t, _ in held), np.uint8)
         off = np.append(0, np.cumsum([len(t) for _, _, t, _ in held]))
         hashes, place, lo, hi = anchors(raw, off)
         wanted = np.isin(place, np.concatenate([c + o for (_, _, _, c), o in zip(held, off[:-1].tolist(), strict=True)]))
         hashes, place, lo, hi = (x[wanted] for x in (hashes, place, lo, hi))
         doc = np.searchsorted(off, lo, side="right") - 1
-        meta = np.stack((np.array([h[0] for h in held], np.int64)[doc], np.array([h[1] for h in held], np.int64)[doc], lo - off[doc], hi - lo + LENGTH - 1, hashes.view(np.int64)), 1)
+        meta = np.stack((np.array([h[0] for h in held], np.int64)[doc], np.array([h[1] for h in held], np.int64)[doc], lo - off[doc] + begun, hi - lo + LENGTH - 1, hashes.view(np.int64)), 1)
         data = [raw[a:b].tobytes() for a, b in zip(lo.tolist(), (hi + LENGTH - 1).tolist(), strict=True)]
         first: dict[bytes, int] = {}
         lead = np.array([first.setdefault(d, i) for i, d in enumerate(data)], np.int64)
@@ -106,9 +112,14 @@ def _pieces(texts: DataFrame, candidates: DataFrame, groups: int, buckets: int)
             if not found or (id_, key) in done:  # a repeated row is the same document
                 continue
             done.add((id_, key))
-            held.append((id_, key, text, np.concatenate(found).astype(np.int64)))
+            wanted = np.concatenate(found).astype(np.int64)
+            if len(text) > 2 * chunk:
+                for begin, end, _ in _cut_bytes(np.frombuffer(text, np.uint8), chunk):
+                    yield from cut([(id_, key, text[begin:end], wanted - begin)], begin)
+                continue
+            held.append((id_, key, text, wanted))
             size += len(text)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield from cut(held)
                 held, size = [], 0
         if held:
@@ -252,7 +263,7 @@ def _marked(sent: DataFrame, buckets: int, groups: int) -> DataFrame:
     return dealt(sent, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: ``id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     A byte goes if it lies in a string of 400 bytes that starts anywhere else, in any document, this one
@@ -264,8 +275,8 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = meeting.groups_for(total)
     buckets, pieces = max(1, math.ceil(total / (12 * BUCKET))), max(1, math.ceil(total / PIECES))
-    candidates = counted(hashed(texts, _anchor_hashes, buckets, every=True), buckets, True, groups)
-    found = _marked(_pieces(texts, candidates, groups, pieces), pieces, groups)
+    candidates = counted(hashed(texts, _anchor_hashes, _cut_bytes, buckets, True, chunk), buckets, True, groups)
+    found = _marked(_pieces(texts, candidates, groups, pieces, chunk), pieces, groups)
 
     def finish(text: bytes, findings: list[np.ndarray]) -> tuple[int, int, int, str]:
         pairs = np.concatenate(findings).astype(np.int64).reshape(-1, 2) if findings else np.zeros((0, 2), np.int64)

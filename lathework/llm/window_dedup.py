@@ -116,6 +116,26 @@ def _located(starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 #: Hashes of a chunk of texts: (hash, start) by ascending start, and the texts' first starts.
 Hashing = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: How a long text is cut into pieces (begin, end, number of its first start), none of whose windows is lost.
+Cutting = Callable[[np.ndarray, int], list[tuple[int, int, int]]]
+
+
+def cut_words(window: int) -> Cutting:
+    """Cuts at blanks about every ``most`` bytes; each piece begins with the last window - 1 words of the one before."""
+
+    def of(raw: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+        inside = ~_BLANK[raw]
+        starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+        ends = [int(np.searchsorted(starts, at)) for at in range(most, len(raw), most)]
+        words = np.unique([*[e for e in ends if e < len(starts)], len(starts)])
+        out, before = [], 0
+        for e in words.tolist():
+            first = max(0, before - window + 1)
+            out.append((int(starts[first]) if first < len(starts) else 0, int(starts[e]) if e < len(starts) else len(raw), first))
+            before = e
+        return out
+
+    return of
 
 
 def windows(window: int) -> Hashing:
@@ -129,23 +149,33 @@ def windows(window: int) -> Hashing:
     return of
 
 
-def hashed(texts: DataFrame, of: Hashing, buckets: int, every: bool) -> DataFrame:
+def hashed(texts: DataFrame, of: Hashing, cut: Cutting, buckets: int, every: bool, chunk: int = CHUNK) -> DataFrame:
     """Each chunk's distinct hashes by bucket, and its own repeated starts under a negative bucket.
 
-    Repeated are the starts of an equal hash but the earliest, or all of them if ``every``.
+    Repeated are the starts of an equal hash but the earliest, or all of them if ``every``. Texts of more
+    than two chunks are cut.
     """
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in gathered(batches, "text", CHUNK):
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Chunks: (ids, keys, bytes, offsets, number of the first start)."""
+        for part in gathered(batches, "text", chunk):
             ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             order = np.lexsort((keys, ids))
             ids, keys = ids[order], keys[order]
             once = np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))  # repeated rows are one document
-            part, ids, keys = part.take(pa.array(order[once])), ids[once], keys[once]
-            hashes, starts, first = of(*text_bytes(part.column("text")))
-            docs = np.stack((ids, keys, first), 1)
+            raw, off = text_bytes(part.column("text").take(pa.array(order[once])))
+            if len(off) == 2 and len(raw) > 2 * chunk:
+                for begin, end, first in cut(raw, chunk):
+                    yield ids[once], keys[once], raw[begin:end], np.array([0, end - begin]), first
+            else:
+                yield ids[once], keys[once], raw, off, 0
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, raw, off, begun in parts(batches):
+            hashes, starts, first = of(raw, off)
             if not len(starts):
                 continue
+            docs = np.stack((ids, keys, first - begun), 1)
             by = np.argsort(hashes)
             a, b = runs(hashes[by])
             sent = np.zeros(len(hashes), bool)
@@ -212,7 +242,7 @@ def counted(sent: DataFrame, buckets: int, every: bool, groups: int) -> DataFram
     return dealt(sent, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(kernel, meeting.FOUND)
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
     """One row per document: ``id, n_words, n_removed, kept_sha256``.
 
     A word goes if it lies in a window of ``window`` words whose sequence also starts earlier, in a smaller
@@ -225,7 +255,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = meeting.groups_for(total)
     buckets = max(1, math.ceil(total / BUCKET))
-    found = counted(hashed(texts, windows(window), buckets, every=False), buckets, False, groups)
+    found = counted(hashed(texts, windows(window), cut_words(window), buckets, False, chunk), buckets, False, groups)
 
     def finish(text: bytes, findings: list[np.ndarray]) -> tuple[int, int, str]:
         words = text.split()

@@ -100,13 +100,16 @@ def test_simhash_nulls_repeats_and_nothing(spark):
     assert sorted(r.doc_id or -1 for r in simhash.keep_first(df).collect()) == [-1, 5, 7]
 
 
-def test_windows(docs, rows):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in window_dedup.remove_repeated_windows(docs).collect()}
+@pytest.mark.parametrize("chunk", [window_dedup.CHUNK, 1900])
+def test_windows(docs, rows, chunk):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in window_dedup.remove_repeated_windows(docs, chunk=chunk).collect()}
     assert got == brute.windows(rows)
 
 
-def test_strings(docs, rows):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_strings(docs).collect()}
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 1900])
+def test_strings(docs, rows, chunk):
+    """A small chunk cuts the longer texts."""
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_strings(docs, chunk=chunk).collect()}
     assert got == brute.strings(rows)
 
 
