@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +15,17 @@ from pyspark.sql import functions as F
 #: Bytes of text that one kernel call looks at; bounds a Python worker's memory.
 CHUNK_BYTES = 8 << 20
 
+_own_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a temporary one only where unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one of this application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lathework-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        if name not in _own_folders:
+            _own_folders[name] = "file://" + tempfile.mkdtemp(prefix="lathework-")
+        folder = _own_folders[name]
     return folder.rstrip("/")
 
 
@@ -30,14 +33,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lathework/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives executors.
 
-    The read table has a known size, so Spark's own threshold decides whether a join broadcasts it.
+    The read table has a known size, so Spark's own threshold decides whether a join broadcasts it. The
+    table of ``replaces``, a DataFrame that nothing reads any more, is deleted (if it came from here).
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if old := vars(replaces).get("_table_path") if replaces is not None else None:
+        remove(df.sparkSession, old)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
 def dealt(df: DataFrame, column: str, parts: int) -> DataFrame:
@@ -173,7 +181,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small_low, "a")
         small = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_low.select("a", F.col("m").alias("b")))
-        now = materialize(small.where("a <> b").distinct(), name)
+        now = materialize(small.where("a <> b").distinct(), name, replaces=now)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break

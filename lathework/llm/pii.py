@@ -149,7 +149,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
         voted = edges.select("pattern", "instance").join(patterns.where(F.col("seeds") >= 1), "pattern")
         doubt = voted.groupBy("instance").agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))).alias("doubt"))
         instances = materialize(
-            instances.join(doubt, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.col("doubt"), F.lit(0.0))).alias("score")), "pii-instances"
+            instances.join(doubt, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.col("doubt"), F.lit(0.0))).alias("score")), "pii-instances", replaces=instances
         )
     return patterns, instances
 

@@ -131,13 +131,13 @@ def reachable(edges: DataFrame) -> DataFrame:
     known = -1
     while True:
         step = reached.join(pointer, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = materialize(reached.unionByName(step).distinct(), "warc-reached")
+        reached = materialize(reached.unionByName(step).distinct(), "warc-reached", replaces=reached)
         count = reached.count()
         if count == known:
             break
         known = count
         far = pointer.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
-        pointer = materialize(pointer.join(far, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-pointers")
+        pointer = materialize(pointer.join(far, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-pointers", replaces=pointer)
     return reached.join(edges.select("file", "at"), ["file", "at"], "left_semi")
 
 
