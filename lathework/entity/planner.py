@@ -137,9 +137,7 @@ class Planner:
         if limit:
             df = df.limit(limit)
         for i, (link, source, item, _, _, own, name) in enumerate(lists):
-            below = [s.split(".", name.count(".") + 1)[-1] for s in sort or [] if s.lstrip("+-").lower().startswith(name + ".")]
-            signs = [s[0] for s in sort or [] if s.lstrip("+-").lower().startswith(name + ".") and s[0] in "+-"]
-            below = [(signs[j] if j < len(signs) else "") + b for j, b in enumerate(below)]
+            below = [s[: len(s) - len(bare)] + bare[len(name) + 1 :] for s in sort or [] if (bare := s.lstrip("+-")).lower().startswith(name + ".")]
             children = self._children(link, source, item, below, own, (*path, meta), depth + 1)
             many_keys = df.schema[f"_l{i}"].dataType.typeName() == "array"
             if many_keys:
@@ -263,7 +261,7 @@ class Planner:
             df = df.join(other, F.col("_key") == F.col("_out")).drop("_key", "_out").withColumnRenamed("_in", "_key")
         rows = F.collect_list(F.struct(*marks, "_item"))
         if marks:
-            signs = [-1 if s.startswith("-") else 1 for s in sort]
+            signs = [-1 if s.startswith("-") else 1 for s in sort if not self._below_many(target, s)]
 
             def compare(a: C, b: C) -> C:
                 out = F.lit(0)

@@ -36,6 +36,10 @@ def test_to_many(engine):
     assert all(len(r["nations"]) == 5 and [n["name"] for n in r["nations"]] == sorted((n["name"] for n in r["nations"]), reverse=True) for r in rows)
     deep = Repository(engine, Region).find_many("name,nations.(name,customers.key)", {"name": "ASIA"})
     assert {"name", "customers"} <= set(deep[0]["nations"][0])
+    mixed = Repository(engine, Region).find_many("name,nations.(name,customers.key)", {"name": "ASIA"}, sort="nations.name,-nations.customers.key")[0]["nations"]
+    assert [n["name"] for n in mixed] == sorted(n["name"] for n in mixed)
+    keys = [[c["key"] for c in n["customers"]] for n in mixed if "customers" in n]
+    assert keys and keys == [sorted(k, reverse=True) for k in keys]
     with pytest.raises(ModelError, match="Circular"):
         Repository(engine, Region).find_many("nations.region")
     assert "nations" not in Repository(engine, Region).find_many("name,nations", max_sub_queries=0)[0]
