@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from . import meeting, suffix
 from .common import dealt, merged, mixed, runs, spread
-from .window_dedup import BUCKET, counted, hashed, rolling, rolling_all
+from .window_dedup import counted, hashed, rolling, rolling_all
 
 LENGTH, GRAM = 400, 32
-#: Bytes of pieces that one suffix array takes, text bytes that one bucket of pieces stands for, and
-#: bytes of texts whose pieces a task cuts at once.
-SHARD, PIECES, CHUNK = 1 << 20, 4 << 20, 3 << 20
+#: Bytes of pieces that one suffix array takes, text bytes that one bucket of pieces or of anchors stands
+#: for, and bytes of texts whose pieces a task cuts at once.
+SHARD, PIECES, ANCHORS, CHUNK = 1 << 20, 4 << 20, 96 << 20, 3 << 20
 _BASE = 0xA0761D6478BD642F
 
 
@@ -274,7 +274,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = meeting.groups_for(total)
-    buckets, pieces = max(1, math.ceil(total / (12 * BUCKET))), max(1, math.ceil(total / PIECES))
+    buckets, pieces = max(1, math.ceil(total / ANCHORS)), max(1, math.ceil(total / PIECES))
     candidates = counted(hashed(texts, _anchor_hashes, _cut_bytes, buckets, True, chunk), buckets, True, groups)
     found = _marked(_pieces(texts, candidates, groups, pieces, chunk), pieces, groups)
 

@@ -24,7 +24,7 @@ from .common import dealt, gathered, mixed, runs, spread, text_bytes
 
 WINDOW = 20
 #: Text bytes hashed at once by a map task, and text bytes that one hash bucket stands for.
-CHUNK, BUCKET = 3 << 20, 8 << 20
+CHUNK, BUCKET = 3 << 20, 16 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -249,7 +249,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     id or further up in the same document. Null texts have no words; texts shorter than a window lose
     none. Null ids count as the largest. Rows that repeat id and text are one document and get the same
     result each; one id with several texts is several documents, ordered by a hash of the text. Windows
-    are told apart by 56 bits of hash inside a bucket of about a million. Extra columns are ignored.
+    are told apart by 56 bits of hash inside a bucket of some millions. Extra columns are ignored.
     """
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
