@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
@@ -27,6 +28,10 @@ class QueryError(ValueError):
     """A query that has no plan."""
 
 
+class OuterRaw(QueryError):
+    """Raw text in a sub-query that names a table of a query around it."""
+
+
 class Scope:
     """The named tables of one query; ``parent`` is the scope of the query around it."""
 
@@ -58,6 +63,17 @@ class Scope:
         return own
 
 
+def raw_column(text: str, scope: Scope) -> Column:
+    """Raw text as a column; only SQL text can resolve names of outer tables in it."""
+    for word in set(re.findall(r"\b([A-Za-z_]\w*)\s*\.", text)):
+        outer = scope.parent
+        while outer is not None and not scope.has(word, ""):
+            if outer.has(word, ""):
+                raise OuterRaw(f"{text!r} names {word}")
+            outer = outer.parent
+    return F.expr(text)
+
+
 def literal(x: Any) -> Column:
     """A value as a column: aware times are instants, naive ones have no zone, mappings are JSON text."""
     if isinstance(x, dt.datetime) and x.tzinfo is None:
@@ -220,7 +236,7 @@ class Compiler:
         if isinstance(x, elements.OrderColumn):
             return self._sort(x, scope, {})
         if isinstance(x, elements.Raw):
-            return F.expr(x.text)
+            return raw_column(x.text, scope)
         if isinstance(x, elements.Param):
             value = literal(self.value(x))
             return value.cast(spark_type(x.data_type, x.is_array)) if x.data_type else value
@@ -290,7 +306,7 @@ class Compiler:
     def condition(self, c: Node, scope: Scope) -> Column | None:
         """The condition as a column, or None where it vanishes."""
         if isinstance(c, elements.Raw):
-            return F.expr(c.text)
+            return raw_column(c.text, scope)
         if isinstance(c, predicates.Logical):
             parts = [p for p in (self.condition(i, scope) for i in c.items) if p is not None]
             if not parts:

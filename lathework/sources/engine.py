@@ -17,7 +17,7 @@ from ..operators import elements, queries
 from ..operators.base import Node
 from ..operators.types import DataType, from_spark
 from ..plans import Compiler, Scope
-from ..plans.compiler import has_raw, tables_of
+from ..plans.compiler import OuterRaw, has_raw, tables_of
 from ..streaming.cursor import Cursor
 from .catalog import Catalog
 
@@ -159,8 +159,8 @@ class Engine:
             return self.spark.sql(query, args=dict(params or {}))
         try:
             return self.compiler(params).query(query)
-        except AnalysisException:
-            if not (isinstance(query, queries.Query) and has_raw(query)):
+        except (AnalysisException, OuterRaw) as e:
+            if isinstance(e, AnalysisException) and not (isinstance(query, queries.Query) and has_raw(query)):
                 raise
             return self._by_text(query, params)
 
