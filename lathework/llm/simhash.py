@@ -15,11 +15,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import chunks, components, docs_of, materialize, runs, text_bytes
+from .near_copies import shingle_hashes
 
 #: Most bits in which linked fingerprints differ; the key scheme is built for this number.
 MOST_BITS = 3
@@ -66,18 +67,9 @@ def segment_keys() -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash of a UTF-8 text; texts without words get zero."""
-    words = text.lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
         return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        starts = (ends - size)[: len(words) - shingle + 1].tolist()
-        of = xxhash.xxh64_intdigest
-        hashes = [of(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
     wide = np.array(hashes, np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(wide), 1 << 16):
@@ -190,12 +182,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The documents with smallest id of each near-duplicate component, all columns kept.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with smallest id of each component of near copies, all columns kept.
 
-    Rows that repeat the kept id in a component are dropped but one; documents with a null id stay.
+    Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, decided on
+    the sets (module ``near_copies``), not by the three bits that bind ``near_duplicates``. Texts without
+    words are copies of each other. Rows that repeat the kept id in a component are dropped but one;
+    documents with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = near_copies.label(docs, id_col, text_col).select(F.col("low.id").alias(id_col)).distinct()
     with_id = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return with_id.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -132,3 +132,31 @@ def test_dedup_nulls_repeats_and_nothing(spark, operator):
     first = 0 if operator is window_dedup.remove_repeated_windows else len(long)
     size = 150 if operator is window_dedup.remove_repeated_windows else len(long)
     assert got == sorted([(1, first), (1, first), (2, 0), (99, size), (2, size), (2, 0)])
+
+
+def edited(text, changes):
+    """``text`` with evenly spread words replaced: each takes five shingles of one word away."""
+    words = text.split()
+    for i in range(changes):
+        words[5 + i * (len(words) - 10) // changes] = f"changed{i}"
+    return " ".join(words)
+
+
+def test_keep_first_links_by_jaccard(spark):
+    """Texts of similarity 0.8 to 0.97 are linked, however many bits apart; those below 0.8 are not."""
+    rows = []
+    for i in range(40):
+        text = brute.passage(1000 + i, 300)
+        rows += [(10 * i, text), (10 * i + 1, edited(text, 1 + i % 6)), (10 * i + 2, edited(text, 9)), (10 * i + 3, edited(text, 12))]
+    sets = {d: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+    for block in range(40):
+        own = [10 * block + k for k in range(4)]
+        for _ in own:
+            for a in own:
+                for b in own:
+                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+    want = {d for d, r in root.items() if d == r}
+    assert 40 < len(want) < len(rows)
+    assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
