@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,8 +137,9 @@ def _spherical(x: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Learn from documents that are not held out and have a language and a letter; None if there are none.
 
-    Document frequencies cover all of them. Centroids are fitted on about ``sample`` documents (twice as
-    many at most), an equal share for each language, drawn by a hash of their ids.
+    Document frequencies cover all of them. Centroids are fitted on about ``sample`` documents, an equal share
+    for each language (eight at least), drawn by a hash of id and text. Rows that repeat both, null ids
+    included, are drawn as one, so neither they nor a language's name decide what is learned.
     """
     train = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & has_letter(text_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     frequency = _document_frequencies(train, "_text")
@@ -146,12 +147,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     idf = (np.log((1 + frequency[DIMS]) / (1 + frequency[:DIMS])) + 1).astype(np.float32)
 
-
-
-    sizes = {r["_lang"]: r["count"] for r in train.groupBy("_lang").count().toLocalIterator()}  # a row per language
+    train = train.withColumn("_draw", F.xxhash64("_id", "_text"))
+    sizes = {r["_lang"]: r["count"] for r in train.select("_lang", "_draw").distinct().groupBy("_lang").count().toLocalIterator()}  # a row per language
     share = max(8, sample // len(sizes))
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share / n))]), F.col("_lang"))
-    drawn = F.shiftrightunsigned(F.xxhash64("_id"), 11) * F.lit(2.0**-53) < rate
+    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * share / n))]), F.col("_lang"))
+    near = train.where(F.shiftrightunsigned("_draw", 11) * F.lit(2.0**-53) < rate).groupBy("_lang", "_draw").agg(F.min("_text").alias("_text"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.shiftrightunsigned("_draw", 11), "_draw"))  # over some two shares a language
+    drawn = near.withColumn("_place", place).where(F.col("_place") <= share)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, "_text"):
@@ -163,8 +165,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 values.append(np.minimum(row[at], 65535).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([part.column("_lang"), pa.array(dims, pa.binary()), pa.array(values, pa.binary())], names=["_lang", "dims", "n"])
 
-    chosen = train.where(drawn).mapInArrow(kernel, "_lang string, dims binary, n binary")
-    rows = sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.toLocalIterator()))[: 2 * sample + 16 * len(sizes)]
+    chosen = drawn.select("_lang", "_text").mapInArrow(kernel, "_lang string, dims binary, n binary")
+    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.toLocalIterator())  # a share a language at most
     names = sorted({r[0] for r in rows})
     x = np.zeros((len(rows), DIMS), np.int32)
     for i, (_, dims, n) in enumerate(rows):

@@ -139,3 +139,25 @@ def test_longest_matches(spark):
     for block_words in (400_000, 30):
         got = {r.doc_id: r.longest_match for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words).collect()}
         assert got == {0: "27:5:1", 1: "48:13:2", 2: ""}
+
+
+def test_language_sample_is_fair_to_null_and_repeated_ids(spark):
+    """Thousands of rows with a null or one repeated id, of different and of equal text, push no language out."""
+    import random
+
+    rng = random.Random(2)
+    letters = {"aa": "abcdef", "bb": "ghijkl", "zz": "uvwxyz"}
+
+    def text(lang):
+        return " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(30))
+
+    rows = [(None, text("aa"), "aa") for _ in range(3000)] + [(None, "fade deaf " * 20, "aa")] * 1500
+    rows += [(i, text("bb"), "bb") for i in range(300)] + [(id_, text("bb"), "bb") for id_ in (11, 12, 13) for _ in range(1000)] + [(i, text("zz"), "zz") for i in range(1000, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit(docs)
+    assert model.languages == ["aa", "bb", "zz"]
+    asked = spark.createDataFrame([(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "zz"] * 20)], "doc_id long, text string, lang string")
+    want = {r.doc_id: r.lang for r in asked.collect()}
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == want
+    again = langid.fit(docs.repartition(2))
+    assert (again.centroids == model.centroids).all() and (again.floor == model.floor).all()
