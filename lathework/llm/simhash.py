@@ -187,9 +187,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, decided on
     the sets (module ``near_copies``), not by the three bits that bind ``near_duplicates``. Texts without
-    words are copies of each other. Rows that repeat the kept id in a component are dropped but one;
-    documents with a null id stay.
+    words are copies of each other. Rows that repeat the kept id in a component are dropped but one; rows of
+    one id in different components are several documents. Documents with a null id stay.
     """
-    kept = near_copies.label(docs, id_col, text_col).select(F.col("low.id").alias(id_col)).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    kept = near_copies.label(docs, id_col, text_col).select(F.col("low.row").alias("_row"))
+    with_id = docs.where(F.col(id_col).isNotNull()).withColumn("_row", near_copies.row_hash(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
     return with_id.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -160,3 +160,11 @@ def test_keep_first_links_by_jaccard(spark):
     want = {d for d, r in root.items() if d == r}
     assert 40 < len(want) < len(rows)
     assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
+
+
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    a, b = brute.passage(21, 100), brute.passage(22, 100)
+    rows = [(3, a), (3, b), (3, b), (3, edited(b, 1)), (4, a), (2, edited(a, 1)), (None, b), (5, brute.passage(23)), (5, brute.passage(24))]
+    got = [(r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 5 and sum(i == 5 for i, _ in got) == 2 and (2, edited(a, 1)) in got and (None, b) in got
+    assert [t for i, t in got if i == 3][0] in (b, edited(b, 1))
