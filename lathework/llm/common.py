@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +12,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Bytes of text that one kernel call looks at; bounds a Python worker's memory.
 CHUNK_BYTES = 8 << 20
 
 _own_folders: dict[str, str] = {}
 
 
+def ready(df: DataFrame) -> SparkSession:
+    """The session of ``df``, its executors supplied with this package; every operator begins with it."""
+    return ship(df.sparkSession)
+
+
+def fresh(df: DataFrame, *names: str) -> Callable[[str], str]:
+    """Names for inner columns that none of ``df``'s columns has, in any case."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any(f"{prefix}{n}" in taken for n in names):
+        prefix += "_"
+    return lambda n: f"{prefix}{n}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one of this application."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset and the master is local, as in tests, a temporary one of this application. On a
+    cluster a machine-local folder would lose data, so there the setting is needed.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = spark.sparkContext.applicationId
         if name not in _own_folders:
             _own_folders[name] = "file://" + tempfile.mkdtemp(prefix="lathework-")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.llm import ann, mixing, queries, warc
+from lathework.llm import ann, queries, warc
 from lathework.llm.common import components, new_path
 
 DATA = "/root/testdata/sf0.001"
@@ -62,30 +62,6 @@ def test_walk_goes_by_summed_distance():
     assert walked == sorted(near, key=near.get)
 
 
-def test_raking_meets_marginals(spark):
-    cells = spark.createDataFrame([(s, g, t, 10 + 7 * i * j + k) for i, s in enumerate("abc") for j, g in enumerate("xy") for k, t in enumerate("pq")] + [("z", "x", "p", 0)], "source string, lang string, topic string, tokens long")
-    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"p": 0.1, "q": 0.9}}
-    got = mixing.rake(cells, targets=targets).collect()
-    for d, want in targets.items():
-        for value, share in want.items():
-            assert abs(sum(r.weight for r in got if r[d] == value) - share) < 1e-6
-    fitted = mixing.calibrate(spark.createDataFrame(got), 0.4).collect()
-    assert abs(sum(r.tokens * r.probability for r in fitted) - 0.4 * sum(r.tokens for r in fitted)) < 1e-6
-    assert all(0 <= r.probability <= 1 for r in fitted)
-
-
-def test_mixing_documents(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    got = mixing.mix(docs).collect()
-    assert len(got) == docs.count() and all(0 <= r.probability <= 1 for r in got)
-    kept = mixing.sample(docs)
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.sampled} and kept.columns[:5] == docs.columns
-    odd = spark.createDataFrame([(1, None, None, "en"), (None, "a b", "s", None), (1, "a b c", "s", "en"), (1, "a b c", "s", "en")], "doc_id long, text string, source string, lang string")
-    rows = {(r.doc_id, r.source, r.lang, r.n_tokens) for r in mixing.mix(odd).collect()}
-    assert rows == {(1, "(none)", "en", 0), (None, "s", "(none)", 2), (1, "s", "en", 3)}
-    assert mixing.mix(odd.limit(0)).collect() == []
-
-
 def digest(text):
     return hashlib.sha256((text or "").encode()).hexdigest()
 
