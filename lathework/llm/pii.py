@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-The patterns' matches are seeds. Every seed and every other token of an identifier's shape is an
-instance; the words around each occurrence are its lexical patterns. The graph of patterns and instances
-is scored on the cluster in rounds: a pattern's confidence is the mean score of its instances (smoothed),
-an instance's score joins the confidences of its patterns, seeds keep 1. Patterns with enough seeds and
-confidence then mark the unseen instances that stand in them as ``found``.
+The patterns' matches are seeds. Every seed and every other token of an identifier's shape is an instance;
+the words around each occurrence are its lexical patterns: two words before it, one, two with a word between
+that is skipped, one on either side, two after it. Words with digits stand for any number. The graph of
+patterns and instances is scored on the cluster in rounds: a pattern's confidence is the share of its
+instances that are seeds or accepted (smoothed), an instance's score the confidence of its best pattern with
+enough seeds, and an instance is accepted at the least confidence; so no pattern lifts itself by instances
+that are not accepted. Good patterns then mark the accepted unseen instances that stand in them as ``found``.
 """
 
 from __future__ import annotations
@@ -17,21 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, docs_of, materialize, text_bytes
+from .common import chunks, docs_of, materialize, ready, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "found")
 # Fixed by the contract. An e-mail match holds one @, so its domain is searched and the name taken leftwards.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+_IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")  # a match never begins inside digits: each run is tried once
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ROUNDS = 3
 #: A pattern needs this confidence and this many distinct seeds; a found instance this score.
-CONFIDENCE, SEEDS, SMOOTHING = 0.8, 3, 1.0
+CONFIDENCE, SEEDS, SMOOTHING = 0.8, 3, 0.5
 _CONTEXT = 64  # characters on either side from which context words are taken
-_SHAPE = re.compile(r"[0-9]{4,}|@")
-_TOKEN = re.compile(r"[A-Za-z0-9@._+/#-]+$")
+_SHAPE = re.compile(r"[0-9](?:[^\s0-9]{0,8}[0-9]){5}|@")  # six digits of one token, near each other, or an @
+_TOKEN = re.compile(r"[A-Za-z0-9@._+/#-]{6,}$")
+_DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~"
 
 
@@ -71,15 +74,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shaped_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens of an identifier's shape that no base span touches: six digits or an @, 6 to 64 characters."""
-    out, last = [], 0
+    """Tokens of an identifier's shape that no base span touches: six digits or an @, 6 characters at least."""
+    out, last, base = [], 0, 0
     for m in _SHAPE.finditer(text):
         if m.start() < last:
             continue
         a, b = m.start(), m.end()
-        while a > 0 and m.start() - a < 80 and not text[a - 1].isspace():
+        while a > last and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and b - m.end() < 80 and not text[b].isspace():
+        while b < len(text) and not text[b].isspace():
             b += 1
         last = b
         while a < b and text[a] in _EDGE:
@@ -87,20 +90,36 @@ def shaped_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
         while b > a and text[b - 1] in _EDGE:
             b -= 1
         token = text[a:b]
-        if 6 <= b - a <= 64 and _TOKEN.match(token) and ("@" in token[1:-1] or sum(map(str.isdigit, token)) >= 6) and not any(s < b and a < e for s, _, e in taken):
+        if not _TOKEN.match(token) or not ("@" in token[1:-1] or len(_DIGIT.findall(token)) >= 6):
+            continue
+        while base < len(taken) and taken[base][0] < a and max(e for _, _, e in taken[base : base + len(KINDS)]) <= a:
+            base += 1  # spans of one kind don't overlap: those behind this token stay behind
+        if not any(s < b and a < e for s, _, e in taken[max(0, base - len(KINDS)) :] if s < b):
             out.append((a, b))
     return out
 
 
+def _words(text: str) -> list[str]:
+    """Lower-cased words without punctuation; a word with digits is any number."""
+    found = (w.strip(_EDGE).lower() for w in text.split())
+    return ["0" if _DIGIT.search(w) else w for w in found]
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of an occurrence: the two words before it, and the words on either side."""
-    before = [w.strip(_EDGE).lower() for w in text[max(0, start - _CONTEXT) : start].split()][-2:]
-    after = [w.strip(_EDGE).lower() for w in text[end : end + _CONTEXT].split()][:1]
+    """Lexical patterns of an occurrence; empty words (punctuation alone) end a side."""
+    before, after = _words(text[max(0, start - _CONTEXT) : start])[-3:], _words(text[end : end + _CONTEXT])[:2]
     out = []
-    if len(before) == 2 and all(before):
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after and before[-1] and after[0]:
-        out.append(f"{before[-1]} _ {after[0]}")
+    if before and before[-1]:
+        w = before[-1]
+        out.append(f"{w} _")
+        if len(before) > 1 and before[-2]:
+            out.append(f"{before[-2]} {w} _")
+        if len(before) > 2 and before[-3]:
+            out.append(f"{before[-3]} * {w} _")
+        if after and after[0]:
+            out.append(f"{w} _ {after[0]}")
+    if len(after) > 1 and all(after):
+        out.append(f"_ {after[0]} {after[1]}")
     return out
 
 
@@ -133,23 +152,25 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(kernel, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {_SCHEMA}")
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
     """``(patterns(pattern, confidence, seeds), instances(instance, score))`` of ``edges(pattern, instance, seed)``.
 
     Edges are distinct; ``seed`` belongs to the instance. Each round is a join and a sum by pattern, then
-    a join and a sum by instance, written to the shared folder.
+    a join and a maximum by instance, written to the shared folder. Either join has one row a key on one
+    side, so a frequent pattern or instance can be split.
     """
     instances = materialize(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.max(F.col("seed").cast("double")).alias("score")), "pii-instances")
-    patterns = edges
+    patterns: DataFrame | None = None
     for _ in range(rounds):
+        counted = F.when(F.col("score") >= confidence, F.col("score")).otherwise(0.0)
         weighed = edges.select("pattern", "instance").join(instances, "instance")
         patterns = materialize(
-            weighed.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(SMOOTHING) * F.lit(0.5))).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds")), "pii-patterns"
+            weighed.groupBy("pattern").agg((F.sum(counted) / (F.count(F.lit(1)) + F.lit(SMOOTHING))).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds")), "pii-patterns", replaces=patterns
         )
-        voted = edges.select("pattern", "instance").join(patterns.where(F.col("seeds") >= 1), "pattern")
-        doubt = voted.groupBy("instance").agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))).alias("doubt"))
+        voted = edges.select("pattern", "instance").join(patterns.where(F.col("seeds") >= seeds), "pattern")
+        best = voted.groupBy("instance").agg(F.max("confidence").alias("best"))
         instances = materialize(
-            instances.join(doubt, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.col("doubt"), F.lit(0.0))).alias("score")), "pii-instances", replaces=instances
+            instances.join(best, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")), "pii-instances", replaces=instances
         )
     return patterns, instances
 
@@ -162,14 +183,15 @@ def _listed(spans: str | Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
     """One row per document: ``id, n_email, n_ip, n_card, n_phone, n_found, base_sha256, spans``.
 
-    Null texts count as empty. Rows that repeat id and text get the same spans each; the same id with other
+    Null texts count as empty and have no spans; very long ones are read whole, a batch of texts at a time. Empty in, empty out. Rows that repeat id and text get the same spans each; the same id with other
     texts is told apart by the text. Null ids keep their rows. Ties in start go by kind. Extra columns are ignored.
     """
+    ready(docs)
     base = materialize(extract(docs, id_col, text_col), "pii-extracted")
     seen = base.select(F.col(id_col).alias("_id"), "key", F.explode("seen").alias("s")).select("_id", "key", "s.*")
     edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = materialize(edges, "pii-edges")
-    patterns, instances = score_patterns(edges, rounds)
+    patterns, instances = score_patterns(edges, rounds, confidence, seeds)
     good = patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= seeds)).select("pattern")
     likely = instances.where(~F.col("seed") & (F.col("score") >= confidence)).select("instance")
     unseen = seen.where(~F.col("seed")).select("_id", "key", "start", "end", "instance", F.explode("patterns").alias("pattern"))
