@@ -90,15 +90,15 @@ from page left join firsts on firsts.d = page.d and n >= 100""",
     "op10_suffix_dedup": """
 with t as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
 long as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) k from (select doc_id, h, unnest(range(0, n - 399)) i from t where n >= 400)),
-short as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) k from (select doc_id, h, unnest(range(0, n - 199)) i from t where n >= 200)),
+short as (select doc_id, i, md5(substr(h, 2 * i + 1, 480)) k from (select doc_id, h, unnest(range(0, n - 239)) i from t where n >= 240)),
 twice as (select 400 size, doc_id, i from (select doc_id, i, count(*) over (partition by k) c from long) where c > 1
-  union all select 200, doc_id, i from (select doc_id, i, count(*) over (partition by k) c from short) where c > 1),
+  union all select 240, doc_id, i from (select doc_id, i, count(*) over (partition by k) c from short) where c > 1),
 numbered as (select size, doc_id, i, sum(case when i - p <= size then 0 else 1 end) over (partition by size, doc_id order by i) g
   from (select *, lag(i) over (partition by size, doc_id order by i) p from twice)),
 gone as (select size, doc_id, min(i) a, max(i) + size b from numbered group by size, doc_id, g),
 cut as (select doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) head, max(b) last, sum(b - a) n_removed, count(*) n_spans
   from (select doc_id, a, b, h, lag(b, 1, 0) over (partition by doc_id order by a) before from gone join t using (doc_id) where size = 400) group by doc_id),
-told as (select doc_id, sum(b - a) n_repeated from gone where size = 200 group by doc_id)
+told as (select doc_id, sum(b - a) n_repeated from gone where size = 240 group by doc_id)
 select doc_id, n n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256, cast(coalesce(n_repeated, 0) as bigint) n_repeated
 from t left join cut using (doc_id) left join told using (doc_id)""",

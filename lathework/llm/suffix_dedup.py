@@ -1,6 +1,6 @@
 """Substring dedup over bytes with suffix arrays that are built shard by shard.
 
-Strings of ``LENGTH`` bytes are removed, those of ``REPORT`` bytes are reported as well: that is some 35 to
+Strings of ``LENGTH`` bytes are removed, those of ``REPORT`` bytes are reported as well: that is some 40 to
 50 words, so that shared passages show that are too short to go. A repeated string begins with ``REPORT``
 bytes that hold the same smallest hash of a short gram (their anchor) wherever they start, so strings are
 dealt to shards by anchor. First the anchors of all documents are counted: a string whose anchor occurs once
@@ -27,7 +27,7 @@ from . import meeting, suffix
 from .common import dealt, merged, mixed, ready, runs, spread
 from .window_dedup import counted, hashed, rolling, rolling_all
 
-LENGTH, REPORT, GRAM = 400, 200, 32
+LENGTH, REPORT, GRAM = 400, 240, 64
 #: Bytes of pieces that one suffix array takes, text bytes that one bucket of pieces or of anchors stands
 #: for, and bytes of texts whose pieces a task cuts at once.
 SHARD, PIECES, ANCHORS, CHUNK = 1 << 20, 4 << 20, 96 << 20, 3 << 20
@@ -327,7 +327,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """One row per document: ``id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated``.
 
     A byte goes if it lies in a string of 400 bytes that starts anywhere else, in any document, this one
-    included. ``n_repeated`` counts the bytes in strings of 200 bytes that do: nothing is removed for those alone. Null texts are empty; shorter texts lose nothing. Rows that repeat id and text are one
+    included. ``n_repeated`` counts the bytes in strings of 240 bytes that do: nothing is removed for those alone. Null texts are empty; shorter texts lose nothing. Rows that repeat id and text are one
     document, not repetitions of each other, and get the same result each; equal texts of other ids are
     repetitions. Null ids are one id. Extra columns are ignored. Empty in, empty out.
     """

@@ -111,27 +111,27 @@ def test_strings(docs, rows, chunk):
     """A small chunk cuts the longer texts."""
     found = suffix_dedup.remove_repeated_strings(docs, chunk=chunk).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute.strings(rows)
-    assert {r.doc_id: r.n_repeated for r in found} == {i: x[1] for i, x in brute.strings(rows, 200).items()}
+    assert {r.doc_id: r.n_repeated for r in found} == {i: x[1] for i, x in brute.strings(rows, 240).items()}
 
 
 def test_short_passages_are_reported(spark):
     """Repeated passages between the two lengths are told, not removed; shorter ones are neither."""
     rows = []
-    for i, n in enumerate((150, 199, 200, 230, 399, 400, 450)):
+    for i, n in enumerate((150, 239, 240, 280, 399, 400, 450)):
         shared = brute.passage(500 + i, 120)[:n].replace(" ", "-")
         rows += [(10 * i + k, f"{brute.passage(600 + 10 * i + k, 80)} {k}{shared}{k} {brute.passage(700 + 10 * i + k, 80)}") for k in (0, 1)]
     got = {r.doc_id: r for r in suffix_dedup.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, n in enumerate((150, 199, 200, 230, 399, 400, 450)):
+    for i, n in enumerate((150, 239, 240, 280, 399, 400, 450)):
         for k in (0, 1):
-            assert (got[10 * i + k].n_removed, got[10 * i + k].n_repeated) == (n if n >= 400 else 0, n if n >= 200 else 0)
+            assert (got[10 * i + k].n_removed, got[10 * i + k].n_repeated) == (n if n >= 400 else 0, n if n >= 240 else 0)
 
 
 def test_strings_across_shards():
     pieces = list({brute.passage(9, 400)[i : i + 700].encode() for i in range(0, 1500, 37)} | {brute.passage(11, 120).encode(), b"q" * 900})
-    strings = [max(0, len(p) - 399) if i % 3 else max(0, len(p) - 199) for i, p in enumerate(pieces)]
+    strings = [max(0, len(p) - 399) if i % 3 else max(0, len(p) - 239) for i, p in enumerate(pieces)]
     whole = suffix_dedup.repeated_strings(pieces, strings)
     small = suffix_dedup.repeated_strings(pieces, strings, shard=1500)
-    for n, which in ((200, 0), (400, 1)):
+    for n, which in ((240, 0), (400, 1)):
         owned = [p[k : k + n] for p, s in zip(pieces, strings, strict=True) for k in range(s) if k + n <= len(p)]
         for p, s, a, b in zip(pieces, strings, whole, small, strict=True):
             want = [k + n <= len(p) and owned.count(p[k : k + n]) > 1 for k in range(s)]
