@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, fresh, ready, spread, text_bytes
 
 #: Hashed n-gram dimensions.
 DIMS = 1 << 13
@@ -30,8 +30,8 @@ ROUNDS = 8
 #: A document is rejected if its similarity is below this share of the lowest one in hundred of training
 #: documents with a like number of n-grams.
 REJECT_SHARE = 0.5
-#: Texts with fewer n-grams than this are too short to be rejected by their distance.
-REJECT_LEAST = 128
+#: What short texts are compared with: stretches of the sampled texts of so many n-grams.
+STRETCHES = (8, 16, 32, 64)
 UNKNOWN = "und"
 _ROWS = 256  # dense vectors held at once
 
@@ -139,8 +139,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Document frequencies cover all of them. Centroids are fitted on about ``sample`` documents, an equal share
     for each language (eight at least), drawn by a hash of id and text. Rows that repeat both, null ids
-    included, are drawn as one, so neither they nor a language's name decide what is learned.
+    included, are drawn as one, so neither they nor a language's name decide what is learned. Null and
+    empty texts teach nothing, of very long ones all n-grams count. The thresholds for texts of fewer
+    n-grams than the sample has come from stretches of its texts.
     """
+    ready(docs)
     train = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & has_letter(text_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     frequency = _document_frequencies(train, "_text")
     if not frequency[DIMS]:
@@ -157,27 +160,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, "_text"):
-            found = counts(*text_bytes(part.column("_text")))
-            dims, values = [], []
-            for row in found:
-                at = np.flatnonzero(row)
-                dims.append(at.astype("<u2").tobytes())
-                values.append(np.minimum(row[at], 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("_lang"), pa.array(dims, pa.binary()), pa.array(values, pa.binary())], names=["_lang", "dims", "n"])
-
-    chosen = drawn.select("_lang", "_text").mapInArrow(kernel, "_lang string, dims binary, n binary")
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in chosen.toLocalIterator())  # a share a language at most
-    names = sorted({r[0] for r in rows})
+            raw, off = text_bytes(part.column("_text"))
+            for width in (0, *STRETCHES):  # 0: the whole texts
+                a, n = off[:-1], np.diff(off)
+                if width:
+                    a, n = a + np.maximum(n - width - 2, 0) // 2, np.minimum(n, width + 2)
+                found = counts(raw[spread(a, n)], np.append(0, np.cumsum(n)))
+                dims, values = [], []
+                for row in found:
+                    at = np.flatnonzero(row)
+                    dims.append(at.astype("<u2").tobytes())
+                    values.append(np.minimum(row[at], 65535).astype("<u2").tobytes())
+                columns = [part.column("_lang"), pa.array(np.full(len(n), width)), pa.array(dims, pa.binary()), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_lang", "width", "dims", "n"])
+
+    chosen = drawn.select("_lang", "_text").mapInArrow(kernel, "_lang string, width long, dims binary, n binary")
+    rows = sorted((r[1], r[0], bytes(r[2]), bytes(r[3])) for r in chosen.toLocalIterator())  # a share a language at most, and its stretches
+    names = sorted({r[1] for r in rows})
     x = np.zeros((len(rows), DIMS), np.int32)
-    for i, (_, dims, n) in enumerate(rows):
+    for i, (_, _, dims, n) in enumerate(rows):
         x[i, np.frombuffer(dims, "<u2")] = np.frombuffer(n, "<u2")
-    y = np.array([names.index(r[0]) for r in rows])
+    whole = np.array([r[0] == 0 for r in rows])
+    y = np.array([names.index(r[1]) for r in rows])[whole]
     size = np.maximum(x.sum(1), 1)
-    x = vectors(x, idf)
+    every = vectors(x, idf)
+    x = every[whole]
     parts = [_spherical(x[y == i], CENTROIDS) for i in range(len(names))]
     of = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     centroids = np.concatenate(parts)
-    best = (x @ centroids.T).max(1)
+    best = (every @ centroids.T).max(1)
     band = np.log2(size).astype(int)
     floor = np.full(32, np.inf)
     for b in range(32):
@@ -190,7 +201,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         floor[: known[0]] = 0.0  # no training text is as short: nothing to compare with
     else:
         floor[:] = 0.0
-    floor[: REJECT_LEAST.bit_length() - 1] = 0.0
     floor = np.minimum.accumulate(floor[::-1])[::-1]  # never stricter on shorter texts than on longer ones
     return Model(names, centroids.astype(np.float32), of, idf, floor)
 
@@ -210,8 +220,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     ``lang_pred`` is ``und``, the score 0 and the document rejected if the text is null or has no letter,
     or if nothing was learned. ``rejected`` marks texts too far from every centroid; their ``lang_pred``
-    is still the nearest. Very short texts get the nearest centroid too. Rows with null or repeated ids keep a row each.
+    is still the nearest. Very short texts are compared with equally short stretches of training texts; very
+    long ones are read whole. Rows with null or repeated ids keep a row each, ties go to the first language by
+    name. Other columns, whatever their names, are ignored. Empty in, empty out.
     """
+    ready(docs)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held_out(id_col).alias("_held"), has_letter(text_col).alias("_letter"))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -234,13 +247,19 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def keep_accepted(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that the classifier accepts, with ``lang`` set to the language found."""
-    marked = docs.withColumn("_letter", has_letter(text_col))
+    """The documents that the classifier accepts, with ``lang`` set to the language found.
+
+    Null texts, texts without a letter and, where nothing was learned, all documents go. Repeated rows and
+    null ids are treated alike; columns of any name are kept. Empty in, empty out.
+    """
+    ready(docs)
+    mark = fresh(docs, "letter")("letter")
+    marked = docs.withColumn(mark, has_letter(text_col))
     own = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, text_col):
-            letter = np.array(part.column("_letter").to_pylist(), bool)
+            letter = np.array(part.column(mark).to_pylist(), bool)
             if model is None or not letter.any():
                 continue
             language, _, far = classify(part, text_col, model)

@@ -249,6 +249,11 @@ def test_language(spark):
     found = {r.doc_id: r for r in langid.predict(odd, model).collect()}
     assert [found[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and found[4].lang_pred == "en" and found[None].lang_pred == "de"
     assert found[5].rejected and not found[4].rejected
+    short = spark.createDataFrame([(1, "привет мир как дела"), (2, "qzx jvwk xqz"), (3, "this is the way that we do it"), (4, "das ist ein guter tag für uns")], "doc_id long, text string")
+    assert {r.doc_id: r.rejected for r in langid.predict(short, model).collect()} == {1: True, 2: True, 3: False, 4: False}
+    clash = odd.withColumn("_letter", F.lit("mine")).withColumn("__letter", F.lit(1))
+    assert {r._letter for r in langid.keep_accepted(clash, model).collect()} == {"mine"}
+    assert langid.predict(odd.limit(0), model).collect() == [] and langid.keep_accepted(odd.limit(0), model).collect() == []
     kept = langid.keep_accepted(odd, model)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4]
     assert langid.fit(odd.where("lang is null")) is None
