@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import chunks, components, docs_of, materialize, runs, text_bytes
+from .common import chunks, components, docs_of, fresh, materialize, ready, runs, text_bytes
 from .near_copies import shingle_hashes
 
 #: Most bits in which linked fingerprints differ; the key scheme is built for this number.
@@ -171,15 +171,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reached over links of at most three bits, the document's own
     included. Null and empty texts and texts of blanks have fingerprint zero and are linked like any
     other. Texts below ``shingle`` words hash as one shingle. Repeated ids keep a row each; a null id is
-    never a component_id unless the whole component has none. Extra columns are ignored. Empty in, empty out.
+    never a component_id unless the whole component has none. Very long texts are hashed whole. Extra
+    columns, whatever their names, are ignored. Empty in, empty out.
     """
-    base = materialize(with_fingerprints(docs, id_col, text_col, shingle), "simhash")
+    ready(docs)
+    own, wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col
+    id_col, text_col = "id", "text"
+    base = materialize(with_fingerprints(own, id_col, text_col, shingle), "simhash")
     prints = base.groupBy("fp").agg(F.min(id_col).alias("low"))
     roots = components(links(prints), "simhash-links")
     labelled = prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     of_print = labelled.join(lows, "root").select("fp", "component_id")
-    return base.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return base.join(of_print, "fp").select(F.col(id_col).alias(wanted), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,8 +192,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, decided on
     the sets (module ``near_copies``), not by the three bits that bind ``near_duplicates``. Texts without
     words are copies of each other. Rows that repeat the kept id in a component are dropped but one; rows of
-    one id in different components are several documents. Documents with a null id stay.
+    one id in different components are several documents. Documents with a null id stay. Columns of any
+    name are kept. Empty in, empty out.
     """
-    kept = near_copies.label(docs, id_col, text_col).select(F.col("low.row").alias("_row"))
-    with_id = docs.where(F.col(id_col).isNotNull()).withColumn("_row", near_copies.row_hash(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    ready(docs)
+    row = fresh(docs, "row")("row")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = near_copies.label(own, "id", "text").select(F.col("low.row").alias(row))
+    with_id = docs.where(F.col(id_col).isNotNull()).withColumn(row, near_copies.row_hash(id_col, text_col)).join(kept, row, "left_semi").dropDuplicates([row])
     return with_id.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

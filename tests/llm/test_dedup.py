@@ -177,6 +177,13 @@ def test_keep_first_links_by_jaccard(spark):
     assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
 
 
+def test_keep_first_leaves_the_callers_columns(spark):
+    rows = [(1, "a b c", "r", 1, 2), (1, "a b c", "r", 1, 2), (2, "a b c", "r", 1, 2), (3, None, "r", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, row int, print int")
+    assert sorted(tuple(r) for r in simhash.keep_first(df).collect()) == [(1, "a b c", "r", 1, 2), (3, None, "r", 1, 2)]
+    assert simhash.keep_first(df).columns == df.columns and simhash.near_duplicates(df.withColumn("fp", df.row)).count() == 4
+
+
 def test_keep_first_tells_texts_of_one_id_apart(spark):
     a, b = brute.passage(21, 100), brute.passage(22, 100)
     rows = [(3, a), (3, b), (3, b), (3, edited(b, 1)), (4, a), (2, edited(a, 1)), (None, b), (5, brute.passage(23)), (5, brute.passage(24))]
