@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ready
 
-#: Most vectors on which the codebooks are fitted (about; those with the smallest hashes of their ids).
+#: Vectors on which the codebooks are fitted (about; those with the smallest hashes of their ids), at least 40 a codeword.
 SAMPLE = 20_000
 ROUNDS = 12
 #: Entries of one block that are held and scored at once.
@@ -34,7 +34,8 @@ RECALL = 0.95
 
 
 def default_codewords(n: int) -> int:
-    return int(min(128, max(4, math.sqrt(n) / 3.5)))
+    """Words of either codebook: they grow with the root of the index, up to a million cells."""
+    return int(min(1024, max(4, math.sqrt(n) / 3.5)))
 
 
 def calibrated(sample: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, k: int) -> float:
@@ -118,12 +119,13 @@ class Index:
 
 def fit(vectors: DataFrame, n: int, k: int, codewords: int | None = None, sample: int = SAMPLE) -> Index:
     """Codebooks and the walked share from a bounded sample of ``vectors(id, v)``."""
+    words = codewords or default_codewords(n)
+    sample = max(sample, 40 * words)
     share = min(1.0, sample / max(n, 1))
     cut = F.lit(int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(2**63 - 1)
     rows = vectors.where(F.xxhash64("id") <= cut).select("id", "v").limit(2 * sample).toArrow()
     order = np.argsort(np.array(rows.column("id").to_pylist(), dtype=object), kind="stable") if rows.num_rows else []
     x = matrix(rows.column("v")).astype(np.float64)[order]
-    words = codewords or default_codewords(n)
     h = x.shape[1] // 2
     left, right = _codebook(x[:, :h], words), _codebook(x[:, h:], words)
     return Index(left, right, np.zeros((0, 0)), np.zeros(0), calibrated(x, left, right, n, k))
@@ -140,7 +142,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, entries: np.ndarray, q: np.ndarra
     return ids[at][order], exact[order]
 
 
-_MET = "block int, part int, query boolean, id long, v array<float>, cells array<int>"
+_MET = "block int, part int, query boolean, id long, v array<{kind}>, cells array<int>"
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, candidates: int | None = None, codewords: int | None = None) -> DataFrame:
@@ -151,8 +153,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     repeat id and vector count once. Of equal vectors only the ``k`` + 1 smallest ids can be among the
     nearest, so only those are indexed, which keeps copies from filling a block. Empty in, empty out.
     """
-    spark = vectors.sparkSession
-    good = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), is_query.alias("q"))
+    spark = ready(vectors)
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # what holds the vectors as they are
+    good = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), is_query.alias("q"))
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -171,7 +174,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 i, j = index.cells(matrix(batch.column("v")).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), batch.column("id"), batch.column("v")], names=["block", "cell", "id", "v"])
 
-    placed = materialize(entries.mapInArrow(place, "block int, cell int, id long, v array<float>"), "ann-index")
+    placed = materialize(entries.mapInArrow(place, f"block int, cell int, id long, v array<{kind}>"), "ann-index")
     counts = np.zeros((len(index.left), len(index.right)), np.int64)
     for i, j, c in placed.groupBy("block", "cell").count().collect():  # at most codewords^2 rows
         counts[i, j] = c
@@ -202,7 +205,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 
     splits = F.array(*[F.lit(int(s)) for s in index.splits])
     held = placed.select("block", F.pmod(F.xxhash64("id"), F.get(splits, F.col("block")).cast("long")).cast("int").alias("part"), F.lit(False).alias("query"), "id", "v", F.array("cell").alias("cells"))
-    probes = good.where("q").select("id", "v").mapInArrow(probe, _MET)
+    probes = good.where("q").select("id", "v").mapInArrow(probe, _MET.format(kind=kind))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple[int, int] | None = None
