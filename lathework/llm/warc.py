@@ -2,9 +2,12 @@
 
 Writing is Spark's text writer with the records' end as its line separator. Reading takes every place
 in an archive where a record could begin (the magic may also stand inside a payload), parses it and
-emits (offset, offset of its successor). From offset 0 of each file the successors are followed by
-pointer jumping: in round k the pointers span 2^k records and the reached set doubles. Candidates that
-no chain from a file's start reaches are payload text and are dropped.
+emits (offset, offset of its successor). The candidates of a file meet in one task, where the successors
+are followed from offset 0 by pointer jumping: in round k the pointers span 2^k records and the reached set
+doubles. Candidates that no chain from the file's start reaches are payload text and are dropped.
+
+Files are bounded by bytes: records are written by class of size, and a class's files hold as many records
+as fit if all are as large as the class allows. Only a record that is larger than a file should be has one of its own.
 """
 
 from __future__ import annotations
@@ -14,18 +17,21 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, ready, remove
 
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
 #: Payloads below this many bytes are always stored, never revisits.
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
-_PER_FILE = 4000  # records of one archive file
+#: Bytes of records that one archive file holds, and the classes of record size (their largest; the last has no bound).
+FILE_BYTES = 64 << 20
+CLASSES = (16 << 10, 256 << 10, 4 << 20)
 
 
 def _plain(value: Column) -> Column:
@@ -57,8 +63,18 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip") -> str:
-    """Write the pages as archive files under ``path``; ``compression`` is gzip or none."""
-    records(pages, id_col, url_col, payload_col).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", _PER_FILE).text(path)
+    """Write the pages as archive files in folders under ``path``; ``compression`` is gzip or none."""
+    own = records(pages, id_col, url_col, payload_col)
+    size = F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))) + F.octet_length(F.coalesce(F.col(url_col), F.lit("")))
+    largest = pages.agg(F.coalesce(F.max(size), F.lit(0))).first()[0] + 4096  # a header's fixed parts have under 1 KB
+    low = 0
+    for i, most in enumerate([*CLASSES, None]):
+        bytes_ = F.octet_length("record")
+        some = own.where((bytes_ >= low) & (bytes_ < most) if most else bytes_ >= low)
+        many = max(1, FILE_BYTES // most) if most else 1
+        if i == 0 or largest >= low:
+            some.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", many).text(f"{path}/size={i}")
+        low = most
     return path
 
 
@@ -124,32 +140,60 @@ def candidates(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(kernel, _EDGES)
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """The rows ``(file, at)`` of ``edges(file, at, next)`` on the chain from each file's offset 0."""
-    pointer = edges.select("file", "at", F.col("next").alias("to")).where("to is not null")
-    reached = edges.where("at = 0").select("file", "at")
-    known = -1
+def on_chain(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which candidates the chain from offset 0 reaches; ``at`` ascends, ``after`` is -1 where nothing follows.
+
+    Pointers are places in ``at``; one more place, which points to itself, stands for the end.
+    """
+    n = len(at)
+    place = np.minimum(np.searchsorted(at, after), n - 1)
+    pointer = np.append(np.where((after > at) & (at[place] == after), place, n), n)
+    reached = np.zeros(n + 1, bool)
+    reached[:-1] = at == 0
     while True:
-        step = reached.join(pointer, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = materialize(reached.unionByName(step).distinct(), "warc-reached", replaces=reached)
-        count = reached.count()
-        if count == known:
-            break
-        known = count
-        far = pointer.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
-        pointer = materialize(pointer.join(far, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-pointers", replaces=pointer)
-    return reached.join(edges.select("file", "at"), ["file", "at"], "left_semi")
+        more = reached.copy()
+        more[pointer[reached]] = True
+        if (more[:-1] == reached[:-1]).all():
+            return reached[:-1]
+        reached, pointer = more, pointer[pointer]
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """The rows of ``edges(file, at, next, ...)`` on the chain from each file's offset 0, a file's rows in one task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def kept() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = table.column("at").to_numpy()
+            after = table.column("next").fill_null(-1).to_numpy()
+            return table.filter(pa.array(on_chain(at, after))).combine_chunks()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("file")
+            starts = [0, *(i for i in range(1, batch.num_rows) if names[i] != names[i - 1]), batch.num_rows]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if held and held[-1].column("file")[0] != names[a]:
+                    yield from kept().to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from kept().to_batches()
+
+    return edges.repartition("file").sortWithinPartitions("file", "at").mapInArrow(kernel, edges.schema)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``: ``id, payload_bytes, payload_digest, record_type, refers_to``.
 
     A revisit's length is that of the response with its digest which it refers to. Files are read whole
-    by a task each, so an archive file must fit a task's memory; the writer bounds its files' records.
+    by a task each, so an archive file must fit a task's memory; the writer bounds its files' bytes.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    edges = materialize(candidates(archives.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")), "warc-edges")
-    found = edges.join(reachable(edges), ["file", "at"], "left_semi")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    found = materialize(reachable(candidates(archives.select("path", "content"))), "warc-records")
     responses = found.where("type = 'response'").select(F.col("id").alias("refers"), "digest", F.col("size").alias("full")).distinct()
     revisits = found.where("type = 'revisit'").join(responses, ["refers", "digest"], "left")
     plain = found.where("type = 'response'").select("id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
@@ -161,8 +205,13 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     ``id, payload_bytes, payload_digest, record_type, refers_to``. Null payloads count as empty. Rows that
     repeat an id and a payload are all responses if theirs is the smallest id. Pages with a null id are
-    revisits of an equal payload that has an id. Null urls become empty. Extra columns are ignored.
+    revisits of an equal payload that has an id. Null urls become empty. Very long payloads have a file of
+    their own. Extra columns, whatever their names, are ignored. Empty in, empty out. The archives are deleted
+    when they have been read.
     """
+    ready(pages)
     kind = pages.schema[id_col].dataType
-    found = read_archives(pages.sparkSession, write_archives(pages, new_path(pages.sparkSession, "warc"), id_col, url_col, payload_col))
+    path = write_archives(pages, new_path(pages.sparkSession, "warc"), id_col, url_col, payload_col)
+    found = read_archives(pages.sparkSession, path)  # its records are written to the shared folder already
+    remove(pages.sparkSession, path)
     return found.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

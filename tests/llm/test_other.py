@@ -86,13 +86,44 @@ def test_warc_chain_rejects_magic_in_payloads(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     df = spark.createDataFrame([(i, "u", fake * 3) for i in range(30)], "page_id long, url string, html string").coalesce(1)
     path = warc.write_archives(df, new_path(spark, "t"), compression="none")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     edges = warc.candidates(files)
     assert edges.count() > 30
-    assert {r.id for r in edges.join(warc.reachable(edges), ["file", "at"]).collect()} == {str(i) for i in range(30)}
+    assert sorted(r.id for r in warc.reachable(edges).collect()) == sorted(str(i) for i in range(30))
     assert warc._candidate(b"WARC/1.1 no header", 0)[0] is None
 
 
+def test_pointer_jumping_against_a_walk():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 50, 3000):
+        at = np.unique(np.append(0, rng.integers(0, 10 * n, n)))
+        after = np.where(rng.random(len(at)) < 0.9, at[np.minimum(np.arange(len(at)) + rng.integers(1, 4, len(at)), len(at) - 1)], rng.integers(-1, 10 * n, len(at)))
+        walk, here = set(), 0
+        of = dict(zip(at.tolist(), after.tolist(), strict=True))
+        while here in of and here not in walk:
+            walk.add(here)
+            here = of[here] if of[here] > here else -1
+        assert set(at[warc.on_chain(at, after)].tolist()) == walk
+
+
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "CLASSES", (2_000, 10_000))
+    rows = [(i, "u", "x" * n + str(i)) for i, n in enumerate([10] * 40 + [4_000] * 9 + [30_000, 50_000])]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(df, new_path(spark, "t"), compression="none")
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert sum(n > 20_000 for n in sizes) == 2 and sum(sizes) > 100_000
+    got = warc.round_trip(df.selectExpr("*", "1 as size", "2 as file", "3 as `next`")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(t)) for i, _, t in [*rows, rows[0]])
+
+
+def test_search_keeps_doubles(spark):
+    rows = [(0, [0.1, 0.7]), (1, [1.0, 0.1]), (2, [1e200, 1e-3])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 0.1 * 1e200 + 0.7 * 1e-3), (1, 0.1 * 1.0 + 0.7 * 0.1)]
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
