@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meeting
-from .common import dealt, gathered, mixed, runs, spread, text_bytes
+from .common import dealt, gathered, mixed, ready, runs, spread, text_bytes
 
 WINDOW = 20
 #: Text bytes hashed at once by a map task, and text bytes that one hash bucket stands for.
@@ -251,6 +251,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     result each; one id with several texts is several documents, ordered by a hash of the text. Windows
     are told apart by 56 bits of hash inside a bucket of some millions. Extra columns are ignored.
     """
+    ready(docs)
     texts = meeting.keyed(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = meeting.groups_for(total)
