@@ -3,24 +3,26 @@
 Each task turns its documents into shards: word numbers from the benchmark's vocabulary, of which only
 stretches of known words that are long enough to hold a window remain (a word outside the vocabulary
 ends every match, so nothing is lost). The shard's suffix array is built and every benchmark suffix is
-searched in it, cut at the window length; the stretch found gives all verbatim occurrences. Occurrences
-that follow each other in the document and in the item join up to the longest verbatim matches.
+searched in it by its first window; the stretch found gives all verbatim occurrences. Occurrences that
+follow each other in the document and in the item join up to the longest verbatim matches of the suffix,
+which are returned with their places.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffix
-from .common import CHUNK_BYTES, docs_of, gathered, merged, runs, spread, text_bytes
+from .common import CHUNK_BYTES, docs_of, fresh, gathered, materialize, merged, ready, runs, spread, text_bytes
 
 #: Words of benchmark text held at once; larger benchmarks are searched block by block.
 BLOCK_WORDS = 400_000
@@ -99,15 +101,15 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most:
 
 @dataclass
 class Found:
-    """Per document of a chunk: words, hit stretches (flat starts and ends), item names, and the longest match.
+    """Per document of a chunk: words, hit stretches (flat starts and ends), item names, and maximal matches.
 
-    A longest match is ``words:offset in the document:item``, the first of the longest; empty if there is none.
+    A match is ``words:offset in the document:item``; they stand by offset, the longer first.
     """
 
     words: np.ndarray
     spans: list[np.ndarray]
     items: list[list[str]]
-    longest: list[str]
+    matches: list[list[str]]
 
 
 def scan(texts: Iterator[bytes], n_docs: int, block: Block) -> Found:
@@ -119,7 +121,7 @@ def scan(texts: Iterator[bytes], n_docs: int, block: Block) -> Found:
         numbers.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
         numbers.append(np.zeros(1, np.int32))
     tokens = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-    found = Found(size, [np.zeros(0, np.int64)] * n_docs, [[] for _ in range(n_docs)], [""] * n_docs)
+    found = Found(size, [np.zeros(0, np.int64)] * n_docs, [[] for _ in range(n_docs)], [[] for _ in range(n_docs)])
     first = np.cumsum(size + 1) - (size + 1)
     starts, ends = runs(tokens > 0)
     long = (tokens[starts] > 0) & (ends - starts >= (block.lengths.min() if len(block.lengths) else 1))
@@ -166,16 +168,21 @@ def _join_up(found: Found, block: Block, at: np.ndarray, which: np.ndarray, firs
     last = np.append(new[1:], len(at)) - 1
     words = at[last] - at[new] + size[last]
     doc = np.searchsorted(first, at[new], side="right") - 1
-    best = np.lexsort((at[new], -words, doc))
-    lead = best[np.concatenate(([True], doc[best][1:] != doc[best][:-1]))]
-    item = np.searchsorted(block.item_places, place[new][lead], side="right") - 1
-    for d, w, a, i in zip(doc[lead].tolist(), words[lead].tolist(), (at[new][lead] - first[doc[lead]]).tolist(), item.tolist(), strict=True):
-        found.longest[d] = f"{w}:{a}:{block.place_names[i]}"
+    item = np.searchsorted(block.item_places, place[new], side="right") - 1
+    for d, w, a, i in zip(doc.tolist(), words.tolist(), (at[new] - first[doc]).tolist(), item.tolist(), strict=True):
+        found.matches[d].append(f"{w}:{a}:{block.place_names[i]}")
+    for d in np.unique(doc).tolist():
+        found.matches[d] = _ordered(found.matches[d])
 
 
-def _longer(a: str, b: str) -> str:
-    rank = lambda x: (-int(x.split(":")[0]), int(x.split(":")[1])) if x else (0, 0)
-    return min(a, b, key=rank)
+def _ordered(matches: list[str]) -> list[str]:
+    """Distinct matches by offset, longer ones first, then by item."""
+
+    def key(match: str) -> tuple[int, int, str]:
+        words, offset, item = match.split(":", 2)
+        return int(offset), -int(words), item
+
+    return sorted(set(matches), key=key)
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,69 +190,80 @@ def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(merged(both[:, 0], both[:, 1]), 1).ravel()
 
 
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match string"
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches string"
 
 
-def _annotated(docs: DataFrame, all_blocks: list[Block], text_col: str, finish, schema: str) -> DataFrame:
-    """Run the blocks over the documents in one or several passes; ``finish(batch, Found)`` makes the rows."""
-    passes = all_blocks or [_block([], 10)]
-    for i, block in enumerate(passes):
-        last = i == len(passes) - 1
-        fields = docs.schema
+def _annotated(docs: DataFrame, blocks_: Iterator[Block], text_col: str, finish: Callable[[pa.RecordBatch, Found], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """Run the blocks over the documents, a pass each; ``finish(batch, Found)`` makes the rows of the last.
 
-        def kernel(batches: Iterator[pa.RecordBatch], block: Block = block, first: bool = i == 0, last: bool = last) -> Iterator[pa.RecordBatch]:
+    The driver holds a block and the next one. Between passes the documents are written to the shared folder
+    with what was found, so that no task gets more than one block.
+    """
+    name = fresh(docs, "spans", "items", "matches")
+    kept = [name("spans"), name("items"), name("matches")]
+    kinds = [T.ArrayType(T.LongType()), T.ArrayType(T.StringType()), T.ArrayType(T.StringType())]
+    fields = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in zip(kept, kinds, strict=True)]])
+    block, before = next(blocks_, None) or _block([], 10), None
+    while True:
+        after = next(blocks_, None)
+
+        def kernel(batches: Iterator[pa.RecordBatch], block: Block = block, first: bool = before is None, last: bool = after is None) -> Iterator[pa.RecordBatch]:
             for part in gathered(batches, text_col, CHUNK_BYTES):
                 found = scan(docs_of(*text_bytes(part.column(text_col))), part.num_rows, block)
                 if not first:
-                    spans, items, longest = (part.column(c).to_pylist() for c in ("_spans", "_items", "_longest"))
-                    found.longest = [_longer(a, b) for a, b in zip(longest, found.longest, strict=True)]
+                    spans, items, matches = (part.column(c).to_pylist() for c in kept)
+                    found.matches = [_ordered([*a, *b]) for a, b in zip(matches, found.matches, strict=True)]
                     found.spans = [_union(a, b) for a, b in zip(spans, found.spans, strict=True)]
                     found.items = [sorted({*a, *b}) for a, b in zip(items, found.items, strict=True)]
-                    part = part.drop_columns(["_spans", "_items", "_longest"])
+                    part = part.drop_columns(kept)
                 if last:
                     yield finish(part, found)
                 else:
                     spans = pa.array([x.tolist() for x in found.spans], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, spans, pa.array(found.items, pa.list_(pa.string())), pa.array(found.longest, pa.string())], names=[*part.schema.names, "_spans", "_items", "_longest"])
+                    lists = [pa.array(x, pa.list_(pa.string())) for x in (found.items, found.matches)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, spans, *lists], names=[*part.schema.names, *kept])
 
-        if last:
+        if after is None:
             return docs.mapInArrow(kernel, schema)
-        if i == 0:
-            fields = T.StructType([*fields.fields, T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_longest", T.StringType())])
-        docs = docs.mapInArrow(kernel, fields)
-    raise AssertionError
+        docs = before = materialize(docs.mapInArrow(kernel, fields), "decontamination", replaces=before)
+        block = after
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """One row per document: ``id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match``.
+    """One row per document: ``id, n_words, n_hit, n_items, items_sha256, contaminated, matches``.
 
     A window is ``window`` consecutive words of an item; shorter items are one window. ``n_hit`` counts
-    the document's words inside any occurrence of a window. Null or wordless texts have no words and no
-    hits; items that are null or wordless or have a null id never match; repeated items and ids count
-    once in ``n_items``; repeated documents keep a row each. Extra columns are ignored. An empty
-    benchmark leaves every document clean.
+    the document's words inside any occurrence of a window. ``matches`` lists every maximal verbatim match as
+    words:offset:item, comma-joined, by offset. Null or wordless texts have no words and no hits; very long
+    texts are read whole; items that are null or wordless or have a null id never match; repeated items and ids
+    count once in ``n_items``; repeated documents keep a row each. Extra columns are ignored, whatever their
+    names. An empty benchmark leaves every document clean; no documents give no rows.
     """
-    found_blocks = list(blocks(benchmark, item_col, item_text_col, window, block_words))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {RESULT}"
+    ready(docs)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def finish(part: pa.RecordBatch, found: Found) -> pa.RecordBatch:
         hit = np.array([int((x[1::2] - x[::2]).sum()) for x in found.spans], np.int64)
         digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found.items]
         return pa.RecordBatch.from_arrays(
-            [part.column(id_col), pa.array(found.words), pa.array(hit), pa.array([len(x) for x in found.items], pa.int64()), pa.array(digest, pa.string()), pa.array(hit > 0), pa.array(found.longest, pa.string())],
-            names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
+            [part.column("id"), pa.array(found.words), pa.array(hit), pa.array([len(x) for x in found.items], pa.int64()), pa.array(digest, pa.string()), pa.array(hit > 0), pa.array([",".join(x) for x in found.matches], pa.string())],
+            names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"],
         )
 
-    return _annotated(docs.select(id_col, text_col), found_blocks, text_col, finish, schema)
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, {RESULT}"
+    return _annotated(own, blocks(benchmark, item_col, item_text_col, window, block_words), "text", finish, schema).withColumnRenamed("id", id_col)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents in which no benchmark window occurs, all columns and repeated rows kept."""
-    found_blocks = list(blocks(benchmark, item_col, item_text_col, window, block_words))
+    """The documents in which no benchmark window occurs, all columns, of any name, and repeated rows kept.
+
+    Null and empty texts, null ids and very long texts are treated as by ``decontaminate``.
+    """
+    ready(docs)
 
     def finish(part: pa.RecordBatch, found: Found) -> pa.RecordBatch:
         return part.filter(pa.array([not len(x) for x in found.spans], pa.bool_()))
 
-    return _annotated(docs, found_blocks, text_col, finish, docs.schema)
+    return _annotated(docs, blocks(benchmark, item_col, item_text_col, window, block_words), text_col, finish, docs.schema)

@@ -271,19 +271,22 @@ def test_decontamination(spark, block_words):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(docs, benchmark, block_words=block_words).collect()}
     want = brute.benchmark_hits(rows, [i for i in items if i[0] is not None])
     assert got == want
+    clash = docs.selectExpr("*", "'mine' as _spans", "'mine' as _items", "'mine' as matches", "'mine' as id")
+    assert {r.matches for r in decontaminate.remove_contaminated(clash, benchmark, block_words=block_words).collect()} == {"mine"}
+    assert decontaminate.decontaminate(clash.unionAll(clash), benchmark, block_words=block_words).count() == 2 * len(rows)
     clean = decontaminate.remove_contaminated(docs, benchmark, block_words=block_words)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, w in want.items() if not w[4])
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(docs.limit(0), benchmark).count() == 0
 
 
-def test_longest_matches(spark):
+def test_maximal_matches(spark):
     items = spark.createDataFrame([(1, brute.passage(1, 40)), (2, brute.passage(1, 40) + " " + brute.passage(2, 20))], "item_id long, text string")
     words = brute.passage(1, 40).split()
     docs = [(0, " ".join(["x"] * 5 + words[3:30])), (1, " ".join(words[:12] + ["y"] + words[12:40] + brute.passage(2, 20).split())), (2, "none")]
     for block_words in (400_000, 30):
-        got = {r.doc_id: r.longest_match for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words).collect()}
-        assert got == {0: "27:5:1", 1: "48:13:2", 2: ""}
+        got = {r.doc_id: r.matches for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words).collect()}
+        assert got == {0: "27:5:1,27:5:2", 1: "12:0:1,12:0:2,48:13:2,28:13:1", 2: ""}
 
 
 def test_language_sample_is_fair_to_null_and_repeated_ids(spark):
