@@ -50,8 +50,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lathework/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lathework/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written to the shared folder; their results can't be read afterwards."""
+    remove(spark, _own_folder(spark))
 
 
 def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:

@@ -124,6 +124,82 @@ def test_search_keeps_doubles(spark):
     assert [(r.vec_id, r.score) for r in got] == [(2, 0.1 * 1e200 + 0.7 * 1e-3), (1, 0.1 * 1.0 + 0.7 * 0.1)]
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage against a plain version of it, over what its predecessor kept."""
+    import brute
+    import corpus_pipeline
+
+    from lathework.llm import langid, mixing, secret_scan
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    near = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    now = stages["language_id"](spark, docs, DATA).cache()
+    got = {r.doc_id: r for r in now.collect()}
+    assert set(got) == {i for i, r in near.items() if not r.rejected} and all(got[i].lang == near[i].lang_pred and got[i].text == rows[i].text for i in got)
+
+    def shingles(text):
+        w = [x.lower() for x in brute.WORD.findall(text or "")]
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(r.text) for i, r in got.items()}, {i: i for i in got}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    now = stages["near_duplicates"](spark, now, DATA).cache()
+    assert {r.doc_id for r in now.collect()} == {i for i in sets if top(i) == i}
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    hits = brute.benchmark_hits([(r.doc_id, r.text) for r in now.collect()], items)
+    now = stages["decontamination"](spark, now, DATA).cache()
+    assert {r.doc_id for r in now.collect()} == {i for i, h in hits.items() if not h[4]}
+
+    spans = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for r in secret_scan.scan_secrets(now).collect()}
+    want = {}
+    for r in now.collect():
+        text, gone = r.text, np.zeros(len(r.text) + 1, bool)
+        edges = set()
+        for a, e in spans[r.doc_id]:
+            edges.add(a) if not gone[a] else None
+            gone[a:e] = True
+        want[r.doc_id] = "".join("[SECRET]" * (k in edges) + (c if not gone[k] else "") for k, c in enumerate(text))
+    now = stages["secret_scan"](spark, now, DATA).cache()
+    assert {r.doc_id: r.text for r in now.collect()} == want and all(r.n_chars == len(r.text) for r in now.collect() if "[SECRET]" in r.text)
+
+    decided = {r.doc_id: r for r in mixing.mix(now).collect()}
+    last = {r.doc_id: r for r in stages["source_mixing"](spark, now, DATA).collect()}
+    assert set(last) == {i for i, r in decided.items() if r.sampled} and all(abs(last[i].probability - decided[i].probability) < 1e-12 for i in last)
+    assert {r.doc_id: r.text for r in corpus_pipeline.run(spark, DATA).collect()} == {i: r.text for i, r in last.items()}
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, columns whose names clash, and nothing at all."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    long = "the house of the man is in the town and the " * 30_000
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (None, "the town is near the house and the man is there", None, "s", 5), (2, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (2, long + " x", "en", None, None)], docs.schema)
+    every = docs.unionByName(odd).selectExpr("*", "'mine' as _letter", "1 as _row", "2 as _text", "3 as _base", "4 as _spans", "5 as _source", "6 as _tokens", "'t' as topic", "8 as row")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        every = stage(spark, every, DATA).cache()
+        kept[name] = every.count()
+        assert every.columns[:14] == [*docs.columns, "_letter", "_row", "_text", "_base", "_spans", "_source", "_tokens", "topic", "row"]
+        assert every.where("_letter <> 'mine' or _row <> 1 or _text <> 2 or _base <> 3 or _spans <> 4 or _source <> 5 or _tokens <> 6 or topic <> 't' or row <> 8").count() == 0
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert kept["language_id"] <= 64 and kept["near_duplicates"] <= kept["language_id"] - 2
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
