@@ -177,18 +177,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = drawn.select("_lang", "_text").mapInArrow(kernel, "_lang string, width long, dims binary, n binary")
     rows = sorted((r[1], r[0], bytes(r[2]), bytes(r[3])) for r in chosen.toLocalIterator())  # a share a language at most, and its stretches
     names = sorted({r[1] for r in rows})
-    x = np.zeros((len(rows), DIMS), np.int32)
-    for i, (_, _, dims, n) in enumerate(rows):
-        x[i, np.frombuffer(dims, "<u2")] = np.frombuffer(n, "<u2")
-    whole = np.array([r[0] == 0 for r in rows])
-    y = np.array([names.index(r[1]) for r in rows])[whole]
-    size = np.maximum(x.sum(1), 1)
-    every = vectors(x, idf)
-    x = every[whole]
+
+    def dense(some: list[tuple[int, str, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, numbers of n-grams) of a part of the rows."""
+        found = np.zeros((len(some), DIMS), np.int32)
+        for i, (_, _, dims, n) in enumerate(some):
+            found[i, np.frombuffer(dims, "<u2")] = np.frombuffer(n, "<u2")
+        return vectors(found, idf), np.maximum(found.sum(1), 1)
+
+    whole = [r for r in rows if r[0] == 0]
+    y = np.array([names.index(r[1]) for r in whole])
+    x = np.concatenate([dense(whole[at : at + _ROWS])[0] for at in range(0, len(whole), _ROWS)])
     parts = [_spherical(x[y == i], CENTROIDS) for i in range(len(names))]
     of = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     centroids = np.concatenate(parts)
-    best = (every @ centroids.T).max(1)
+    near_by = []
+    for at in range(0, len(rows), _ROWS):  # texts and stretches alike, a few at a time
+        v, n = dense(rows[at : at + _ROWS])
+        near_by.append(((v @ centroids.T).max(1), n))
+    best, size = (np.concatenate(part) for part in zip(*near_by, strict=True))
     band = np.log2(size).astype(int)
     floor = np.full(32, np.inf)
     for b in range(32):
