@@ -7,9 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .entity import Repository, column, embedded, entity, link, primary_key
 from .functions import renamed
+from .migrate import Migrator, load
 from .operators import (
     And, Between, Case, Coalesce, Count, CrossJoin, Delete, Eq, Exists, Field, FullOuterJoin, Gt, Gte, ILike, In, InnerJoin, Insert, Is, IsNot, LeftJoin, LeftOuterJoin, Like, Lower, Lt, Lte, Max,
     Min, Ne, Not, NotBetween, NotExists, NotILike, NotIn, NotLike, Or, OuterJoin, Param, Raw, RightJoin, RightOuterJoin, Select, Sequence, StringAgg, Table, Union, Update, Upper,
@@ -180,8 +182,8 @@ _add("raw_projection", lambda: Select("o_orderkey", Raw("round(o_totalprice * 2,
 _add("union", lambda: Union([Select("n_regionkey k").from_("nation"), Select("r_regionkey").from_("region")]), "select n_regionkey as k from nation union select r_regionkey from region")
 _add("union_all", lambda: Union([Select("n_regionkey k").from_("nation"), Select("r_regionkey").from_("region")], "all"), "select n_regionkey as k from nation union all select r_regionkey from region")
 _add("distinct", lambda: Select("c_nationkey, c_mktsegment").distinct().from_("customer"), "select distinct c_nationkey, c_mktsegment from customer")
-_add("order_by", lambda: Select("c_custkey").from_("customer").order_by("-c_acctbal", "c_custkey asc"), "select c_custkey from customer")
-_add("order_raw", lambda: Select("r_name").from_("region").order_by(Raw("length(r_name)"), "r_name"), "select r_name from region")
+_add("order_by", lambda: Select("c_custkey").from_("customer").order_by("-c_acctbal", "c_custkey asc").limit(100), "select c_custkey from customer order by c_acctbal desc, c_custkey limit 100")
+_add("order_raw", lambda: Select("r_name").from_("region").order_by(Raw("length(r_name)"), "r_name").limit(2), "select r_name from region order by length(r_name), r_name limit 2")
 _add("limit_offset", lambda: Select("c_custkey").from_("customer").order_by("c_custkey").offset(10).limit(20), "select c_custkey from customer order by c_custkey limit 20 offset 10")
 _add("topk", lambda: Select("o_orderkey, o_totalprice").from_("orders").order_by("o_totalprice desc", "o_orderkey").limit(50), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50")
 _add("null_order", lambda: Select("t.r_regionkey").from_(_sparse()).order_by("-t.x", "t.r_regionkey").limit(4), f"select r_regionkey from {_SPARSE} order by x desc nulls first, r_regionkey limit 4")
@@ -206,6 +208,8 @@ _add("coalesce", lambda: Select("t.r_regionkey", Coalesce(Field("t.x"), "none").
 _add("lower_upper", lambda: Select(Lower(Field("r_name")).as_("low"), Upper(Field("r_name")).as_("up"), Upper("text").as_("literal")).from_("region"), "select lower(r_name) as low, upper(r_name) as up, 'TEXT' as literal from region")
 _add("sequence", lambda: Select(Sequence("counter").next().as_("a"), Sequence("counter").next().as_("b"), Sequence("counter").as_("c")), "select 1 as a, 2 as b, 2 as c")
 
+_add("sequence_rows", lambda: Select("n_nationkey", Sequence("rows").next().as_("a"), Sequence("rows").next().as_("b"), Sequence("rows").as_("c")).from_("nation").order_by("-n_name"), "select n_nationkey, 2 * r - 1 as a, 2 * r as b, 2 * r as c from (select n_nationkey, row_number() over (order by n_name desc) r from nation)")
+
 # -- text back-end run by Spark
 
 
@@ -248,6 +252,39 @@ def _update_returning(e: Engine) -> DataFrame:
     return e.spark.createDataFrame(e.execute(Update("nation", {"n_name": "X"}).where({"n_regionkey": 2}).returning("n_nationkey k", "n_name")).rows, "k int, n_name string")
 
 
+@_run("insert_returning", "select 99 as n_nationkey, 'NEW' as label, cast(null as integer) as n_regionkey")
+def _insert_returning(e: Engine) -> DataFrame:
+    back = e.execute(Insert("nation", {"n_nationkey": Raw("98L + 1"), "n_name": "NEW"}).returning("n_nationkey", "n_name label", "n_regionkey"))
+    return e.spark.createDataFrame(back.rows, "n_nationkey int, label string, n_regionkey int")
+
+
+def _in_files(e: Engine) -> Engine:
+    """``orders`` in several files: writes touch those with affected rows only."""
+    orders = e.dataframe(Select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").from_("orders"))
+    e.catalog.register("many", orders.repartitionByRange(6, "o_orderkey"))
+    return e
+
+
+@_run("update_files", "select o_orderkey, o_custkey, case when o_orderkey < 3000 and o_totalprice > 1000 then 'X' else o_orderstatus end as o_orderstatus, o_totalprice from orders")
+def _update_files(e: Engine) -> DataFrame:
+    _in_files(e).execute(Update("many", {"o_orderstatus": "X"}).where({"o_orderkey <": 3000, "o_totalprice >": 1000}))
+    return e.dataframe(Select().from_("many"))
+
+
+@_run("delete_files", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey >= 3000 or o_totalprice <= 1000")
+def _delete_files(e: Engine) -> DataFrame:
+    _in_files(e).execute(Delete("many").where({"o_orderkey <": 3000, "o_totalprice >": 1000}))
+    return e.dataframe(Select().from_("many"))
+
+
+@_run("write_counts", "select 1 as inserted, 5 as updated, 20 as deleted, 6 as remaining")
+def _write_counts(e: Engine) -> DataFrame:
+    made = e.execute(Insert("nation", {"n_nationkey": 99, "n_name": "NEW", "n_regionkey": 2})).rows_affected
+    changed = e.execute(Update("nation", {"n_name": "X"}).where({"n_regionkey": 1})).rows_affected
+    gone = e.execute(Delete("nation").where({"n_regionkey !=": 2})).rows_affected
+    return e.dataframe(Select(Raw(f"{made} as inserted"), Raw(f"{changed} as updated"), Raw(f"{gone} as deleted"), Raw("cast(count(*) as int) as remaining")).from_("nation"))
+
+
 @_run("delete", "select * from nation where n_regionkey <> 2")
 def _delete(e: Engine) -> DataFrame:
     e.execute(Delete("nation").where({"n_regionkey": 2}))
@@ -286,6 +323,36 @@ def _strings(e: Engine) -> DataFrame:
     return e._as_strings(e.dataframe(Select("o_orderkey", "o_orderdate").from_("orders")), (DataType.TIMESTAMP,))
 
 
+@_run("fetch_cap", "select 100 as capped, 7 as asked, (select count(*) from customer) as uncapped")
+def _fetch_cap(e: Engine) -> DataFrame:
+    q = Select("c_custkey").from_("customer")
+    sizes = [len(e.execute(q, fetch_rows=n).rows) for n in (None, 7, 0)]
+    return e.spark.createDataFrame([sizes], "capped int, asked int, uncapped long")
+
+
+@_run("row_shapes", "select r_regionkey as key, r_name as name, case when r_regionkey > 2 then 2 else 1 end as n from region")
+def _row_shapes(e: Engine) -> DataFrame:
+    lists = e.execute(Select("r_regionkey", "r_name").from_("region").order_by("r_regionkey"), object_rows=False).rows
+    objects = e.execute(Select("t.r_regionkey k", "t.x").from_(_sparse()).order_by("k"), ignore_nulls=True).rows
+    return e.spark.createDataFrame([(*row, len(o)) for row, o in zip(lists, objects, strict=True)], "key int, name string, n int")
+
+
+@_run("row_transform", "select upper(r_name) as r_name from region")
+def _row_transform(e: Engine) -> DataFrame:
+    rows = e.execute(Select("r_name").from_("region"), transform=lambda v, info: v.upper() if isinstance(v, str) else v).rows
+    return e.spark.createDataFrame([(r["r_name"],) for r in rows], "r_name string")
+
+
+@_run("cursor", "select c_custkey from customer order by c_custkey limit 250")
+def _cursor(e: Engine) -> DataFrame:
+    cursor = e.execute(Select("c_custkey").from_("customer").order_by("c_custkey").limit(250), cursor=True, fetch_rows=60).cursor
+    rows = []
+    while (row := cursor.next()) is not None:
+        rows.append((row["c_custkey"],))
+    cursor.close()
+    return e.spark.createDataFrame(rows, "c_custkey long")
+
+
 # -- entities
 
 
@@ -392,6 +459,92 @@ def _entity_writes(e: Engine) -> DataFrame:
     return r.dataframe(projection="key,name").select("_row.key", "_row.name")
 
 
+@_run("entity_to_many_filtered", "select n_name as nation, c_custkey as customer from nation left join customer on c_nationkey = n_nationkey where n_name like '%1'")
+def _to_many_filtered(e: Engine) -> DataFrame:
+    """Children are semi-joined with the parents that a filter on another column leaves."""
+    df = Repository(e, Nation).dataframe(projection="name,customers.key", filter={"name like": "%1"})
+    return df.select(F.col("_row.name").alias("nation"), F.explode_outer("_m0").alias("c")).select("nation", F.col("c._row.key").alias("customer"))
+
+
+@_run("entity_to_many_nested", "select r_name as region, n_name as nation, c_custkey as customer from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey where r_name = 'ASIA'")
+def _to_many_nested(e: Engine) -> DataFrame:
+    df = Repository(e, Region).dataframe(projection="name,nations.(name,customers.key)", filter={"name": "ASIA"})
+    rows = df.select(F.col("_row.name").alias("region"), F.explode_outer("_m0").alias("n"))
+    return rows.select("region", F.col("n._row.name").alias("nation"), F.explode_outer("n._m0").alias("c")).select("region", "nation", F.col("c._row.key").alias("customer"))
+
+
+def _objects(name: str, kinds: str, sql: str) -> Callable[[Callable[[Engine], list[tuple]]], None]:
+    """A function of an engine that returns rows."""
+    return lambda f: _run(name, sql)(lambda e: e.spark.createDataFrame(f(e), kinds))
+
+
+@_objects("entity_create", "key int, name string", "select 78 as key, 'created' as name union all select 79, 'also'")
+def _entity_create(e: Engine) -> list[tuple]:
+    r = Repository(e, Nation)
+    return [tuple(r.create({"key": k, "name": n, "regionKey": 1}, projection="key,name").values()) for k, n in ((78, "created"), (79, "also"))]
+
+
+@_objects("entity_update", "key int, name string", "select n_nationkey as key, 'renamed' as name from nation where n_nationkey = 4")
+def _entity_update(e: Engine) -> list[tuple]:
+    r = Repository(e, Nation)
+    assert r.update(400, {"name": "x"}) is None
+    return [tuple(r.update(4, {"name": "renamed"}, projection="key,name").values())]
+
+
+@_objects("entity_update_many", "changed int, named long", "select 5 as changed, (select count(*) from nation where n_regionkey = 3) as named")
+def _entity_update_many(e: Engine) -> list[tuple]:
+    r = Repository(e, Nation)
+    return [(r.update_many({"name": "many"}, {"region.name": "EUROPE"}), r.count({"name": "many"}))]
+
+
+@_objects("entity_delete_many", "deleted int, remaining long, exists boolean", "select 5 as deleted, (select count(*) from nation) - 5 as remaining, false as exists")
+def _entity_delete_many(e: Engine) -> list[tuple]:
+    r = Repository(e, Nation)
+    return [(r.delete_many({"regionKey": 4}), r.count(), r.exists_one({"regionKey": 4}))]
+
+
+@_objects("entity_find_by_id", "key int, name string, region string", "select n_nationkey as key, n_name as name, r_name as region from nation join region on r_regionkey = n_regionkey where n_nationkey in (2, 9)")
+def _entity_find_by_id(e: Engine) -> list[tuple]:
+    r = Repository(e, Nation)
+    assert r.find_by_id(1000) is None
+    found = [r.find_by_id(2, projection="key,name,region.name"), r.find_one(projection="key,name,region.name", filter={"key": 9})]
+    return [(o["key"], o["name"], o["region"]["name"]) for o in found]
+
+
+@_objects("entity_objects", "key long, segment string, nation string, orders int", "select c_custkey as key, c_mktsegment as segment, n_name as nation, cast((select count(*) from orders where o_custkey = c_custkey) as integer) as orders from customer join nation on n_nationkey = c_nationkey where n_name = 'NATION_3'")
+def _entity_objects(e: Engine) -> list[tuple]:
+    found = Repository(e, Customer).find_many(projection="key,account.segment,nation.name,orders.key", filter={"nation.name": "NATION_3"})
+    return [(o["key"], o["account"]["segment"], o["nation"]["name"], len(o.get("orders", []))) for o in found]
+
+
+@_objects("migration", "id int, name string, version int, done boolean", "select 1 as id, 'one' as name, 2 as version, true as done union all select 2, 'two', 2, true")
+def _migration(e: Engine) -> list[tuple]:
+    """Two versions, the second after a restart; the script's variable is replaced."""
+    kinds = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
+    steps = [
+        {"version": 2, "tasks": [{"table": "items", "rows": [{"id": 2, "name": "two"}], "title": "rows"}]},
+        {"version": 1, "tasks": [{"fn": lambda engine, migrator: engine.catalog.create("items", kinds), "title": "make"}, {"script": "create or replace temp view lathework_word as select '$(word)' as w"}, {"table": "items", "rows": [{"id": 1, "name": "one"}]}]},
+    ]
+    Migrator(e, load("catalogue", steps), {"word": "hello"}).execute(1)
+    again = Migrator(e, load("catalogue", steps), {"word": "hello"})
+    again.execute()
+    done = e.spark.table("lathework_word").first()[0] == "hello"
+    return [(r["id"], r["name"], again.version, done) for r in e.execute(Select("id", "name").from_("items")).rows]
+
+
+@_objects("text_dialects", "dialect string, paged string", """select 'postgres' as dialect, 'limit offset' as paged union all select 'sqlite', 'limit offset'
+  union all select 'oracle', 'rownum' union all select 'oracle 12', 'fetch offset' union all select 'mssql', 'fetch offset'""")
+def _text_dialects(e: Engine) -> list[tuple]:
+    """What each dialect's text pages with."""
+    q = lambda: Select("c_custkey").from_("customer").order_by("c_custkey").offset(10).limit(20)
+    found = []
+    for dialect, version in (("postgres", None), ("sqlite", None), ("oracle", "11"), ("oracle", "12"), ("mssql", None)):
+        text = q().generate(dialect, dialect_version=version).sql.lower()
+        words = [w for w in ("rownum", "limit", "fetch", "offset") if w in text]
+        found.append((dialect + (" 12" if version == "12" else ""), "rownum" if "rownum" in words else " ".join(words)))
+    return found
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one region's nations with their orders nested, through entity links."""
     return Repository(_engine(spark, sf_dir), Customer).dataframe(projection="key,name,account,nation.name,orders.(key,total)", filter={"nation.region.name": "ASIA"}, sort=["key", "-orders.total"])

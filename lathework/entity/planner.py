@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column as C
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import elements, predicates, queries
 from ..operators.base import Node
 from ..plans import Compiler, Scope
+from ..plans.compiler import in_order
 from .model import Column, Embedded, Hop, Link, Meta, ModelError, keys_of, meta_of
 from .projection import Item, wanted
 
@@ -34,8 +35,9 @@ class Shape:
 
 
 class Planner:
-    def __init__(self, compiler: Compiler, max_sub_queries: int = MAX_SUB_QUERIES):
-        self.compiler, self.max_sub_queries = compiler, max_sub_queries
+    def __init__(self, compiler: Compiler, max_sub_queries: int = MAX_SUB_QUERIES, most_linked: int | None = None):
+        """``most_linked`` cuts every list one item beyond it, so that the reader can tell and no list grows without bound."""
+        self.compiler, self.max_sub_queries, self.most_linked = compiler, max_sub_queries, most_linked
         self._aliases = 0
 
     def alias(self) -> str:
@@ -105,9 +107,13 @@ class Planner:
     # -- reads
 
     def read(
-        self, meta: Meta, tree: dict[str, Item], filter_: Any = None, sort: list[str] | None = None, offset: int | None = None, limit: int | None = None, distinct: bool = False, hint: Any = None, path: tuple[Meta, ...] = (), key: Column | None = None, depth: int = 0
-    ) -> tuple[DataFrame, Shape]:
-        """``(_row struct, [_key])`` of the entities, and how the struct reads. ``key`` asks for the grouping key."""
+        self, meta: Meta, tree: dict[str, Item], filter_: Any = None, sort: list[str] | None = None, offset: int | None = None, limit: int | None = None, distinct: bool = False, hint: Any = None, path: tuple[Meta, ...] = (), key: Column | None = None, depth: int = 0,
+        among: DataFrame | None = None,
+    ) -> tuple[DataFrame, Shape]:
+        """``(_row struct, [_key])`` of the entities, and how the struct reads. ``key`` asks for the grouping key.
+
+        ``among`` has the keys ``_k`` that are wanted, where not all are.
+        """
         if meta in path:
             raise ModelError("Circular fields requested")
         scope = Scope()
@@ -117,6 +123,8 @@ class Planner:
         state = _State(df, scope, joins)
         if filter_ is not None and (where := self.compiler.condition(self.filter(meta, "T", filter_), scope)) is not None:
             state.df = state.df.where(where)
+        if among is not None:
+            state.df = state.df.join(among, F.col(f"`T`.`{key.field_name or key.name}`") == F.col("_k"), "left_semi")
         tops = [s for s in sort or [] if not self._below_many(meta, s)]
         order = [self._sort(meta, s, state) for s in tops]
         shape = Shape()
@@ -138,8 +146,12 @@ class Planner:
             df = df.limit(limit)
         for i, (link, source, item, _, _, own, name) in enumerate(lists):
             below = [s[: len(s) - len(bare)] + bare[len(name) + 1 :] for s in sort or [] if (bare := s.lstrip("+-")).lower().startswith(name + ".")]
-            children = self._children(link, source, item, below, own, (*path, meta), depth + 1)
             many_keys = df.schema[f"_l{i}"].dataType.typeName() == "array"
+            parents: DataFrame | None = None
+            if filter_ is not None or offset or limit or among is not None:  # else nearly all children are wanted
+                wanted_keys = F.explode(f"_l{i}") if many_keys else F.col(f"_l{i}")
+                parents = df.select(wanted_keys.alias("_k")).where("_k is not null").distinct()
+            children = self._children(link, source, item, below, own, (*path, meta), depth + 1, parents)
             if many_keys:
                 df = self._attach_by_elements(df, children, i)
             else:
@@ -236,18 +248,15 @@ class Planner:
                 shape.fields.append((name, ("list", len(lists) - 1, own)))
         return F.struct(*fields) if fields else F.struct(F.lit(1).alias("_one"))
 
-    def _children(self, link: Link, source: Meta, item: Item, sort: list[str], shape: Shape, path: tuple[Meta, ...], depth: int) -> DataFrame:
-        """``(_key, _list)``: the link's rows by the key that the parent has, in the asked order."""
-        last = link.hops[-1]
-        target = meta_of(last.target)
-        back = keys_of(source if len(link.hops) == 1 else meta_of(link.hops[-2].target), last)[1]
-        df, own = self.read(target, item.children, last.where, sort, path=path, key=back, depth=depth)
-        shape.fields = own.fields
-        nested = [c for c in df.columns if c.startswith("_m")]
-        marks = [c for c in df.columns if c.startswith("_s")]
-        df = df.select("_key", F.struct(F.col("_row"), *[F.col(m) for m in nested]).alias("_item"), *marks)
-        # the hops before the last, from the last one's source back to the first key
-        for n in range(len(link.hops) - 1, 0, -1):
+    def _children(self, link: Link, source: Meta, item: Item, sort: list[str], shape: Shape, path: tuple[Meta, ...], depth: int, parents: DataFrame | None) -> DataFrame:
+        """``(_key, _list)``: the link's rows by the key that the parent has, in the asked order.
+
+        ``parents`` has the parents' keys ``_k``: rows of others are dropped by a semi-join before they are sorted
+        or grouped, hop by hop.
+        """
+        chain: DataFrame | None = None  # (_in, _out): the parent's key and the key that the last hop's rows refer to
+        among = parents
+        for n in range(1, len(link.hops)):
             middle = meta_of(link.hops[n - 1].target)
             alias = self.alias()
             _, other = self.compiler.source(self.table(middle, alias))
@@ -257,22 +266,33 @@ class Planner:
                 other = other.where(more)
             out_key = keys_of(middle, link.hops[n])[0]
             in_key = keys_of(source if n == 1 else meta_of(link.hops[n - 2].target), link.hops[n - 1])[1]
-            other = other.select(F.col(f"`{alias}`.`{out_key.field_name or out_key.name}`").alias("_out"), F.col(f"`{alias}`.`{in_key.field_name or in_key.name}`").alias("_in"))
-            df = df.join(other, F.col("_key") == F.col("_out")).drop("_key", "_out").withColumnRenamed("_in", "_key")
-        rows = F.collect_list(F.struct(*marks, "_item"))
+            other = other.select(F.col(f"`{alias}`.`{in_key.field_name or in_key.name}`").alias("_i"), F.col(f"`{alias}`.`{out_key.field_name or out_key.name}`").alias("_o"))
+            if among is not None:
+                other = other.join(among, F.col("_i") == F.col("_k"), "left_semi")
+            chain = other.toDF("_in", "_out") if chain is None else chain.join(other, F.col("_out") == F.col("_i")).select("_in", F.col("_o").alias("_out"))
+            among = chain.select(F.col("_out").alias("_k")).distinct() if among is not None else None
+        last = link.hops[-1]
+        target = meta_of(last.target)
+        back = keys_of(source if len(link.hops) == 1 else meta_of(link.hops[-2].target), last)[1]
+        df, own = self.read(target, item.children, last.where, sort, path=path, key=back, depth=depth, among=among)
+        shape.fields = own.fields
+        nested = [c for c in df.columns if c.startswith("_m")]
+        marks = [c for c in df.columns if c.startswith("_s")]
+        df = df.select("_key", F.struct(F.col("_row"), *[F.col(m) for m in nested]).alias("_item"), *marks)
+        if chain is not None:
+            df = df.join(chain, F.col("_key") == F.col("_out")).drop("_key", "_out").withColumnRenamed("_in", "_key")
+        df = df.where("_key is not null")
+        signs = [-1 if s.startswith("-") else 1 for s in sort if not self._below_many(target, s)]
+        if self.most_linked is not None:
+            order = [F.col(m).desc_nulls_first() if sign < 0 else F.col(m).asc_nulls_last() for m, sign in zip(marks, signs, strict=True)]
+            place = F.row_number().over(Window.partitionBy("_key").orderBy(*(order or [F.col("_key")])))
+            df = df.withColumn("_place", place).where(F.col("_place") <= self.most_linked + 1).drop("_place")
         if marks:
-            signs = [-1 if s.startswith("-") else 1 for s in sort if not self._below_many(target, s)]
-
-            def compare(a: C, b: C) -> C:
-                out = F.lit(0)
-                for m, sign in reversed(list(zip(marks, signs, strict=True))):
-                    less = (a[m].isNotNull() & b[m].isNull()) | (a[m] < b[m])
-                    more = (a[m].isNull() & b[m].isNotNull()) | (a[m] > b[m])
-                    out = F.when(less, F.lit(-sign)).when(more, F.lit(sign)).otherwise(out)
-                return out
-
-            rows = F.array_sort(rows, compare)
-        return df.where("_key is not null").groupBy("_key").agg(F.transform(rows, lambda r: r["_item"]).alias("_list"))
+            keys = [x for i, m in enumerate(marks) for x in (F.col(m).isNull().alias(f"n{i}"), F.col(m).alias(f"k{i}"))]
+            rows = in_order(F.collect_list(F.struct(*keys, "_item")), signs)
+        else:
+            rows = F.collect_list(F.struct("_item"))
+        return df.groupBy("_key").agg(F.transform(rows, lambda r: r["_item"]).alias("_list"))
 
 
 @dataclass

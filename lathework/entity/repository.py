@@ -61,8 +61,8 @@ class Repository:
         """The plan of a read: a struct ``_row`` with nested objects, and a list column for each to-many link."""
         return self._planned(projection, filter, params, sort, offset, limit, distinct, max_sub_queries, hint)[0]
 
-    def _planned(self, projection: Any, filter: Any, params: Any, sort: Any, offset: Any, limit: Any, distinct: bool, max_sub_queries: int, hint: Any):
-        planner = Planner(self._compiler(params), max_sub_queries)
+    def _planned(self, projection: Any, filter: Any, params: Any, sort: Any, offset: Any, limit: Any, distinct: bool, max_sub_queries: int, hint: Any, most_linked: int | None = None):
+        planner = Planner(self._compiler(params), max_sub_queries, most_linked)
         order = [sort] if isinstance(sort, str) else list(sort or [])
         order = [p.strip() for s in order for p in s.split(",")]
         return planner.read(self.meta, parse(projection), filter, order, offset, limit, distinct, hint)
@@ -76,7 +76,7 @@ class Repository:
 
     def iterate(self, projection: Any = None, filter: Any = None, params: Any = None, sort: Any = None, offset: Any = None, limit: Any = None, distinct: bool = False, max_eager_fetch: int = 100_000, max_sub_queries: int = MAX_SUB_QUERIES, on_transform_row: Callable | None = None, comment: str | None = None, optimizer_hint: Any = None) -> Iterator[dict[str, Any]]:
         """As ``find_many``, one by one."""
-        df, shape = self._planned(projection, filter, params, sort, offset, limit, distinct, max_sub_queries, optimizer_hint)
+        df, shape = self._planned(projection, filter, params, sort, offset, limit, distinct, max_sub_queries, optimizer_hint, max_eager_fetch)
         if comment:
             self.engine.spark.sparkContext.setJobDescription(comment)
         lists = [c for c in df.columns if c.startswith("_m")]

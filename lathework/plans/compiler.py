@@ -6,6 +6,7 @@ outer references. Null, list and array rules are applied here, before Spark sees
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import json
 import re
@@ -88,8 +89,12 @@ def literal(x: Any) -> Column:
 class Compiler:
     """Compiles against ``tables(schema, name) -> DataFrame``; ``params`` bind by name."""
 
-    def __init__(self, spark: SparkSession, tables: Callable[[str | None, str], DataFrame], params: Mapping[str, Any] | None = None, counter: Callable[[str, bool], int] | None = None):
-        self.spark, self.tables, self.params, self.counter = spark, tables, dict(params or {}), counter
+    def __init__(
+        self, spark: SparkSession, tables: Callable[[str | None, str], DataFrame], params: Mapping[str, Any] | None = None, counter: Callable[[str, int], int] | None = None,
+        staged: Callable[[DataFrame, str], DataFrame] | None = None,
+    ):
+        self.spark, self.tables, self.params, self.counter, self.staged = spark, tables, dict(params or {}), counter, staged
+        self._numbers: dict[str, list[Any]] = {}  # sequences of the rows at hand: [value before the row, next calls so far]
 
     # -- queries
 
@@ -142,8 +147,9 @@ class Compiler:
             df = self._join(df, j, scope, outer)
         if q.condition and (where := self.condition(q.condition, scope)) is not None:
             df = df.where(where)
-        chosen = [self._output(c, scope, df) for c in q.columns] or [("*", F.col("*"))]
-        chosen = [c for c in chosen if c is not None]
+        if q.tables and not q.groups and not q.unique and (calls := _next_calls(q.columns)) and not any(_aggregates(c) for c in q.columns):
+            return self._numbered(q, df, scope, calls)
+        chosen = self._chosen(q, scope, df)
         if q.groups or any(_aggregates(c) for c in q.columns):
             df = self._grouped(q, df, scope, chosen)
         else:
@@ -152,6 +158,49 @@ class Compiler:
             df = df.offset(q.skipped)
         return df.limit(q.limited) if q.limited else df
 
+    def _chosen(self, q: queries.Select, scope: Scope, df: DataFrame) -> list[tuple[str | None, Column]]:
+        chosen = [self._output(c, scope, df) for c in q.columns] or [("*", F.col("*"))]
+        return [c for c in chosen if c is not None]
+
+    def _numbered(self, q: queries.Select, df: DataFrame, scope: Scope, calls: dict[str, int]) -> DataFrame:
+        """A select whose sequences advance row by row.
+
+        The rows, ordered and cut as asked, are written with their partition and place in it; the number of rows
+        of each partition (one small row each) gives every row its rank without a single-task sort.
+        """
+        if self.counter is None or self.staged is None:
+            raise QueryError("sequences need an engine")
+        if q.order:
+            df = df.orderBy(*[self._sort(o, scope, {}) for o in q.order])
+        if q.skipped and q.skipped > 0:
+            df = df.offset(q.skipped)
+        df = df.limit(q.limited) if q.limited else df
+        sources = [(alias, sorted(columns)) for alias, columns in scope.tables.items()]
+        kept = self.staged(df.select(*[F.struct(F.col(f"`{alias}`.*")).alias(f"t{i}") for i, (alias, _) in enumerate(sources)], F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")), "sequence")
+        sizes = sorted(kept.groupBy("_part").count().collect())
+        before, total = {}, 0
+        for part, n in sizes:
+            before[part], total = total, total + n
+        firsts = F.create_map(*[F.lit(x) for part, n in before.items() for x in (part, n)]) if before else F.create_map().cast("map<int,bigint>")
+        rank = (F.element_at(firsts, F.col("_part")) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+        rows = kept.withColumn("_rank", rank)
+        self._numbers = {name: [F.lit(self.counter(name, total * k) - total * k) + F.col("_rank") * k if total else F.lit(None).cast("long"), 0] for name, k in calls.items()}
+        every = any(isinstance(c, elements.Field) and c.name == "*" for c in q.columns)
+        if len(sources) == 1:
+            out = rows.select("t0.*", "_rank").alias(sources[0][0])
+        elif every:
+            raise QueryError("name the columns beside a sequence that numbers joined rows")
+        else:  # one row has all tables: each becomes a struct column of its alias, whose fields resolve as before
+            names = [c for _, columns in sources for c in columns]
+            single = [F.col(f"t{i}.`{c}`").alias(c) for i, (_, columns) in enumerate(sources) for c in columns if names.count(c) == 1 and c not in scope.tables]
+            out = rows.select(*[F.col(f"t{i}").alias(alias) for i, (alias, _) in enumerate(sources)], *single, "_rank")
+        try:
+            out = out.orderBy("_rank") if q.order else out
+            out = out.select(*self._named(self._chosen(q, scope, out)))
+            return out.drop("_rank") if every else out
+        finally:
+            self._numbers = {}
+
     def _join(self, df: DataFrame, j: elements.Join, scope: Scope, outer: Scope | None) -> DataFrame:
         alias, other = self.source(j.table, outer)
         scope.add(alias, other)
@@ -258,7 +307,11 @@ class Compiler:
         if isinstance(x, elements.Sequence):
             if self.counter is None:
                 raise QueryError("sequences need an engine")
-            return F.lit(self.counter(x.name, x.advance))
+            if x.name in self._numbers:
+                state = self._numbers[x.name]
+                state[1] += bool(x.advance)
+                return state[0] + F.lit(state[1])
+            return F.lit(self.counter(x.name, int(bool(x.advance))))
         if isinstance(x, queries.Query):
             return self.query(x, scope).scalar()
         if isinstance(x, predicates.Condition):
@@ -272,22 +325,14 @@ class Compiler:
             return F.listagg(text, F.lit(x.separator))
         # in order: sorted structs of the keys, nulls last when ascending, then the texts alone
         fields, signs = [], []
+        texts = text.cast("string").alias("t")
         for i, o in enumerate(x.order):
             descending = isinstance(o, elements.OrderColumn) and o.descending
             key = scope.column(o.table, o.name) if isinstance(o, elements.OrderColumn) else self.expression(o, scope)
             fields += [key.isNull().alias(f"n{i}"), key.alias(f"k{i}")]
             signs.append(-1 if descending else 1)
-        rows = F.collect_list(F.when(text.isNotNull(), F.struct(*fields, text.cast("string").alias("t"))))
-
-        def compare(a: Column, b: Column) -> Column:
-            out = F.lit(0)
-            for i in reversed(range(len(signs))):
-                less = (~a[f"n{i}"] & b[f"n{i}"]) | (a[f"k{i}"] < b[f"k{i}"])
-                more = (a[f"n{i}"] & ~b[f"n{i}"]) | (a[f"k{i}"] > b[f"k{i}"])
-                out = F.when(less, F.lit(-signs[i])).when(more, F.lit(signs[i])).otherwise(out)
-            return out
-
-        joined = F.array_join(F.transform(F.array_sort(rows, compare), lambda r: r["t"]), x.separator)
+        rows = F.collect_list(F.when(text.isNotNull(), F.struct(*fields, texts)))
+        joined = F.array_join(F.transform(in_order(rows, signs), lambda r: r["t"]), x.separator)
         return F.when(F.size(rows) > 0, joined)
 
     # -- conditions
@@ -362,6 +407,60 @@ class Compiler:
         return ~found if negated else found
 
 
+def in_order(rows: Column, signs: list[int]) -> Column:
+    """Structs (n0, k0, n1, k1, ..., more) by their keys; n says that the key is null: last ascending, first descending.
+
+    One direction for all keys is the structs' own order. Mixed ones need a comparison.
+    """
+    if len(set(signs)) == 1:
+        return F.sort_array(rows, signs[0] > 0)
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for i in reversed(range(len(signs))):
+            less = (~a[f"n{i}"] & b[f"n{i}"]) | (a[f"k{i}"] < b[f"k{i}"])
+            more = (a[f"n{i}"] & ~b[f"n{i}"]) | (a[f"k{i}"] > b[f"k{i}"])
+            out = F.when(less, F.lit(-signs[i])).when(more, F.lit(signs[i])).otherwise(out)
+        return out
+
+    return F.array_sort(rows, compare)
+
+
+def _next_calls(x: Any) -> dict[str, int]:
+    """How often each sequence advances in select items (sub-selects apart)."""
+    out: dict[str, int] = {}
+    if isinstance(x, elements.Sequence):
+        return {x.name: 1} if x.advance else {}
+    if isinstance(x, (list, tuple)):
+        inner = list(x)
+    else:
+        inner = [v for k, v in vars(x).items() if k != "listeners"] if isinstance(x, Node) and not isinstance(x, queries.Query) else []
+    for v in inner:
+        for name, n in _next_calls(v).items():
+            out[name] = out.get(name, 0) + n
+    return out
+
+
+def with_tables(query: Node, names: Mapping[str, str]) -> Node:
+    """A copy of the query whose tables have other names; their old ones stay as aliases."""
+    out = copy.deepcopy(query)
+
+    def walk(x: Any) -> None:
+        if isinstance(x, elements.Table):
+            if x.name in names:
+                x.alias, x.name, x.schema = x.alias or x.name, names[x.name], None
+        elif isinstance(x, Node):
+            for k, v in vars(x).items():
+                if k != "listeners":
+                    walk(v)
+        elif isinstance(x, (list, tuple)):
+            for v in x:
+                walk(v)
+
+    walk(out)
+    return out
+
+
 def tables_of(x: Any) -> set[str]:
     """Names of the tables anywhere in a query."""
     if isinstance(x, elements.Table):

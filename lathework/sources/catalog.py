@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,11 @@ class Catalog:
     @property
     def store(self) -> str:
         if self._store is None:
-            base = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lathework-store-")
+            base = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not base:
+                if not self.spark.sparkContext.master.startswith("local"):
+                    raise ValueError("name a store, or set spark.checkpoint.dir, that the driver and all executors share")
+                base = "file://" + tempfile.mkdtemp(prefix="lathework-store-")
             self._store = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex[:12]}"
         return self._store
 
@@ -133,17 +137,22 @@ class Catalog:
         self.committed[key] = Manifest(tuple(saved["files"]), T.StructType.fromJson(saved["schema"]), saved["version"])
         return True
 
-    def append(self, schema: str | None, name: str, rows: DataFrame) -> int:
-        """Add rows; missing columns become null. Returns their number."""
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, written to the store and read again, so that they are the same whenever they are asked for."""
+        return self.read(Manifest(self._written(df, f"staged-{name}"), df.schema))
+
+    def append(self, schema: str | None, name: str, rows: DataFrame) -> tuple[int, DataFrame]:
+        """Add rows; missing columns become null. Returns their number and the rows as they were written."""
         key, now = self.manifest(schema, name)
         known = {c.lower(): c for c in rows.columns}
         extra = set(known) - {f.name.lower() for f in now.schema.fields}
         if extra:
             raise ValueError(f"{name} has no column {', '.join(sorted(extra))}")
         full = rows.select(*[(F.col(f"`{known[f.name.lower()]}`") if f.name.lower() in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in now.schema.fields])
-        files = self._written(full, key)
+        seen = Observation()
+        files = self._written(full.observe(seen, F.count(F.lit(1)).alias("n")), key)
         self._publish(key, Manifest(now.files + files, now.schema, now.version + 1))
-        return self.spark.read.schema(now.schema).parquet(*files).count() if files else 0
+        return seen.get["n"], self.read(Manifest(files, now.schema))
 
     def rewrite(self, schema: str | None, name: str, alias: str, matches: Column, change: Callable[[DataFrame], DataFrame] | None) -> tuple[int, DataFrame]:
         """Change (or drop, without ``change``) the rows for which ``matches`` is true.
@@ -210,10 +219,11 @@ class Catalog:
 
     # -- counters
 
-    def counter(self, name: str, advance: bool = True) -> int:
+    def counter(self, name: str, advance: int = 1) -> int:
+        """The counter's value after ``advance`` more; 0 asks for the current one."""
         key = name.lower()
         if advance:
-            self.counters[key] = self.counters.get(key, 0) + 1
+            self.counters[key] = self.counters.get(key, 0) + int(advance)
         elif key not in self.counters:
             raise ValueError(f"currval of sequence {name} is not yet defined")
         return self.counters[key]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
@@ -17,7 +18,7 @@ from ..operators import elements, queries
 from ..operators.base import Node
 from ..operators.types import DataType, from_spark
 from ..plans import Compiler, Scope
-from ..plans.compiler import OuterRaw, has_raw, tables_of
+from ..plans.compiler import OuterRaw, has_raw, tables_of, with_tables
 from ..streaming.cursor import Cursor
 from .catalog import Catalog
 
@@ -43,6 +44,7 @@ class Options:
     fetch_as_string: tuple[DataType, ...] | None = None
     transform: Callable[[Any, FieldInfo], Any] | None = None
     show_sql: bool | None = None
+    pretty_print: bool | None = None  # (False): how show_sql lays the text out
     action: str | None = None
 
     def over(self, defaults: Options) -> Options:
@@ -60,7 +62,7 @@ class Result:
     sql: str | None = None
 
 
-FALLBACK = Options(auto_commit=True, cursor=False, object_rows=True, ignore_nulls=False, fetch_rows=100, show_sql=False)
+FALLBACK = Options(auto_commit=True, cursor=False, object_rows=True, ignore_nulls=False, fetch_rows=100, show_sql=False, pretty_print=False)
 
 
 class Engine:
@@ -151,7 +153,7 @@ class Engine:
     # -- queries
 
     def compiler(self, params: Mapping[str, Any] | None = None) -> Compiler:
-        return Compiler(self.spark, self.catalog.table, params, self.catalog.counter)
+        return Compiler(self.spark, self.catalog.table, params, self.catalog.counter, self.catalog.staged)
 
     def dataframe(self, query: Node | str, params: Mapping[str, Any] | None = None) -> DataFrame:
         """The query's rows, not yet computed and without any cap."""
@@ -167,12 +169,19 @@ class Engine:
     def _by_text(self, query: queries.Query, params: Mapping[str, Any] | None) -> DataFrame:
         """Through SQL text: raw text in a sub-query may name tables of the query around it, which only the parser resolves.
 
-        The query's tables become temporary views of their names.
+        The query's tables become temporary views for as long as it is analysed; their names are made up, so
+        none of the user's is replaced.
         """
-        for name in tables_of(query):
-            self.catalog.table(None, name).createOrReplaceTempView(name)
-        made = query.generate("spark", params)
-        return self.spark.sql(made.sql, args=made.params)
+        mark = uuid.uuid4().hex[:12]
+        views = {name: f"lathework_{mark}_{i}" for i, name in enumerate(sorted(tables_of(query)))}
+        for name, view in views.items():
+            self.catalog.table(None, name).createOrReplaceTempView(view)
+        try:
+            made = with_tables(query, views).generate("spark", params)
+            return self.spark.sql(made.sql, args=made.params)
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
 
     def execute(self, query: Node | str, params: Mapping[str, Any] | None = None, **options: Any) -> Result:
         """Run a query; its rows are gathered up to ``fetch_rows`` (100 unless set; 0 for all)."""
@@ -198,7 +207,7 @@ class Engine:
             else:
                 out = self._read(query, params, own)
             if own.show_sql and isinstance(query, queries.Query):
-                out.sql = query.generate("spark", params).sql
+                out.sql = query.generate("spark", params, pretty=bool(own.pretty_print)).sql
             out.execute_time = time.perf_counter() - began
             return out
         except EngineError:
@@ -245,6 +254,7 @@ class Engine:
         if back is None:
             return Result(rows_affected=count)
         info = named_fields(back.schema, own.naming)
+        back = back.limit(own.fetch_rows) if own.fetch_rows else back
         return Result(shaped_rows(back.collect(), info, own.object_rows, own.ignore_nulls, own.transform), info, count)
 
     def _returned(self, query: Any, df: DataFrame) -> DataFrame | None:
@@ -257,8 +267,8 @@ class Engine:
             rows = self.spark.range(1).select(*[v.alias(k) for k, v in values.items()])
         else:
             rows = compiler.query(query.source)
-        count = self.catalog.append(t.schema, t.name, rows)
-        return count, self._returned(query, rows)
+        count, written = self.catalog.append(t.schema, t.name, rows)
+        return count, self._returned(query, written)
 
     def _change(self, query: queries.Update | queries.Delete, compiler: Compiler) -> tuple[int, DataFrame | None]:
         t = query.table

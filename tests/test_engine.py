@@ -123,3 +123,36 @@ def test_guards():
     from lathework.operators import guards
 
     assert guards.is_select(Select()) and guards.is_query(Union([])) and not guards.is_raw(Field("a")) and guards.is_join(LeftJoin("t")) and guards.is_aggregate(Count()) and guards.is_logical(And())
+
+
+def test_sequences_number_rows(engine):
+    rows = engine.execute(Select("n.n_nationkey", "r_name", Sequence("s").next().as_("id"), Case().when(Eq("n.n_nationkey", 3)).then(Sequence("s")).as_("now")).from_("nation n").join(InnerJoin("region r").on({"r.r_regionkey": Field("n.n_regionkey")})).order_by("-n.n_nationkey")).rows
+    assert [r["id"] for r in rows] == list(range(1, 26)) and [r["n_nationkey"] for r in rows] == list(range(24, -1, -1))
+    assert all(r["now"] == (r["id"] if r["n_nationkey"] == 3 else None) for r in rows)
+    more = engine.execute(Select("*", Sequence("s").next().as_("id")).from_("region").where({"r_regionkey >": 1}).limit(2)).rows
+    assert sorted(r["id"] for r in more) == [26, 27] and list(more[0]) == ["r_regionkey", "r_name", "id"]
+    engine.execute(Insert("region", Select(Sequence("s").next().as_("r_regionkey"), "n_name r_name").from_("nation")))
+    assert engine.execute(Select(Raw("count(distinct r_regionkey) as n"), Raw("max(r_regionkey) as top")).from_("region")).rows == [{"n": 30, "top": 52}]
+    assert engine.execute(Select(Sequence("s").next().as_("x")).from_("region").where({"r_regionkey": -1})).rows == []
+
+
+def test_returning_gives_what_was_written(engine):
+    back = engine.execute(Insert("nation", Select(Raw("n_nationkey + 100.4 as n_nationkey"), "n_name").from_("nation").where({"n_regionkey": 1})).returning("n_nationkey", "n_name", "n_regionkey"))
+    assert back.rows_affected == 5 and all(isinstance(r["n_nationkey"], int) and r["n_regionkey"] is None for r in back.rows)
+    assert len(engine.execute(Update("nation", {"n_name": "X"}).returning("n_name"), fetch_rows=4).rows) == 4
+
+
+def test_text_path_leaves_the_users_views(engine):
+    engine.spark.range(3).createOrReplaceTempView("orders")
+    try:
+        q = Select("c_custkey").from_("customer c").where(Exists(Select(Raw("1")).from_("orders").where(Raw("orders.o_custkey = c.c_custkey"))))
+        assert engine.dataframe(q).count() > 3
+        assert engine.spark.table("orders").count() == 3
+        assert not [t.name for t in engine.spark.catalog.listTables() if t.name.startswith("lathework_")]
+    finally:
+        engine.spark.catalog.dropTempView("orders")
+
+
+def test_pretty_sql(engine):
+    q = Select(*[f"c_custkey as column_{i}" for i in range(9)]).from_("customer").limit(1)
+    assert "\n" in engine.execute(q, show_sql=True, pretty_print=True).sql and "\n" not in engine.execute(q, show_sql=True).sql

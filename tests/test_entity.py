@@ -9,15 +9,33 @@ from lathework.operators import Not, Eq
 
 
 def test_projection_parser():
-    assert parse("a,b,c") == {"a": Item(), "b": Item(), "c": Item()}
-    assert parse(["a.a", "a.b", "a", "b.b.a", "b.b"]) == {"a": Item(), "b": Item("", {"b": Item()})}
-    assert parse("a(+b,-c(+a,b))") == {"a": Item("", {"b": Item("+"), "c": Item("-", {"a": Item("+"), "b": Item()})})}
-    assert parse("A.(x, y), +z") == {"a": Item("", {"x": Item(), "y": Item()}), "z": Item("+")}
-    for bad in ("a.", "a(b", "1a", "a)b"):
+    assert parse("name,price,stock") == {"name": Item(), "price": Item(), "stock": Item()}
+    assert parse(["maker.city", "maker", "parts.bolt.size", "parts.bolt"]) == {"maker": Item(), "parts": Item("", {"bolt": Item()})}
+    assert parse("order(+note,-lines(+price,qty))") == {"order": Item("", {"note": Item("+"), "lines": Item("-", {"price": Item("+"), "qty": Item()})})}
+    assert parse("Shop.(till, Door), +owner") == {"shop": Item("", {"till": Item(), "door": Item()}), "owner": Item("+")}
+    for bad in ("maker.", "parts(bolt", "2nd", "parts)bolt"):
         with pytest.raises(ValueError):
             parse(bad)
 
 
+def test_children_are_limited_to_the_parents(engine):
+    """A filter on another column than the link's key: the children are semi-joined before they are grouped."""
+    df = Repository(engine, Nation).dataframe(projection="name,customers.key", filter={"name like": "%1"})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    assert any("Aggregate" in line for line in lines) and any("LeftSemi" in line for line in lines)
+    group = next(i for i, line in enumerate(lines) if "collect_list" in line)
+    assert any("LeftSemi" in line for line in lines[group:])
+    assert "LeftSemi" not in Repository(engine, Nation).dataframe(projection="name,customers.key")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_eager_guard_cuts_in_the_plan(engine):
+    with pytest.raises(ModelError, match="more than 2"):
+        Repository(engine, Region).find_many("name,nations.name", max_eager_fetch=2)
+    found = Repository(engine, Region).find_many("name,nations.name", max_eager_fetch=5, sort=["name", "-nations.name"])
+    assert all(len(r["nations"]) == 5 and [n["name"] for n in r["nations"]] == sorted((n["name"] for n in r["nations"]), reverse=True) for r in found)
+
+
 def test_to_one_and_filters(engine):
     customers = Repository(engine, Customer)
     rows = customers.find_many("key,nation.name,nation.region.name", {"nation.region.name": "ASIA", "account.balance >": 0}, sort="key", limit=3)
