@@ -51,7 +51,7 @@ def test_entry_survives_without_the_corpus_folders(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.OBJECTS))
 def test_text_gives_the_same_rows(spark, name):
     """The text back-end's Spark SQL against the compiled plan."""
-    if name == "sequence":
+    if name.startswith("sequence"):
         pytest.skip("Spark SQL has no sequences")
     for f in glob.glob(f"{DATA}/*.parquet"):
         spark.read.parquet(f).createOrReplaceTempView(os.path.basename(f)[:-8])
