@@ -4,7 +4,7 @@ Both halves of a vector are quantised by codebooks of their own; a cell is a pai
 walks the pairs in order of summed distance (the negated inner product with the two codewords) with a
 heap until the cells passed hold enough entries: a share of the index that is calibrated on the sample
 so that 0.95 of the true neighbours are met (small where vectors cluster, large where they don't). Entries and probes meet by cell block (first
-codeword, split by id where a block is large), are scored on the original vectors in double precision
+codeword, split by cell where a block is large), are scored on the original vectors in double precision
 and give each query's best; the best of all blocks are the result.
 """
 
@@ -13,14 +13,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ready
+from .common import materialize, mixed, ready
 
 #: Vectors on which the codebooks are fitted (about; those with the smallest hashes of their ids), at least 40 a codeword.
 SAMPLE = 20_000
@@ -89,9 +89,21 @@ class Index:
     left: np.ndarray
     right: np.ndarray
     counts: np.ndarray  # entries of each cell, left x right
-    splits: np.ndarray  # parts of each block
     share: float  # of the entries that a query passes
 
+    def __post_init__(self) -> None:
+        """Parts of about BLOCK entries: neighbouring cells of a block share one, a cell that is larger has several of its own."""
+        before = np.cumsum(self.counts, axis=1) - self.counts
+        own = np.maximum(1, -(-self.counts // BLOCK))  # parts of a cell
+        large = own > 1
+        step = before // BLOCK
+        new = np.diff(step, axis=1, prepend=step[:, :1]) > 0
+        new |= large | np.roll(large, 1, axis=1)  # a large cell and the one after it begin parts
+        new[:, :1] = False  # the first cell's is part 0 anyway
+        spare = np.where(large, own - 1, 0)
+        self.first_part = np.cumsum(new, axis=1) + np.cumsum(spare, axis=1) - spare
+        self.parts = own
+
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.left.shape[1]
         pick = lambda part, book: np.argmin((book**2).sum(1)[None, :] - 2 * part @ book.T, axis=1)
@@ -128,7 +140,7 @@ def fit(vectors: DataFrame, n: int, k: int, codewords: int | None = None, sample
     x = matrix(rows.column("v")).astype(np.float64)[order]
     h = x.shape[1] // 2
     left, right = _codebook(x[:, :h], words), _codebook(x[:, h:], words)
-    return Index(left, right, np.zeros((0, 0)), np.zeros(0), calibrated(x, left, right, n, k))
+    return Index(left, right, np.zeros((len(left), len(right)), np.int64), calibrated(x, left, right, n, k))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, entries: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +190,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     counts = np.zeros((len(index.left), len(index.right)), np.int64)
     for i, j, c in placed.groupBy("block", "cell").count().collect():  # at most codewords^2 rows
         counts[i, j] = c
-    index.counts, index.splits = counts, np.maximum(1, -(-counts.sum(1) // BLOCK))
+    index = replace(index, counts=counts)
     most = candidates or max(4 * k, math.ceil(index.share * n))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,23 +200,32 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
             x = matrix(batch.column("v")).astype(np.float64)
             block, part, row, cells = [], [], [], []
             for r in range(len(x)):
-                by: dict[int, list[int]] = {}
+                by: dict[tuple[int, int], list[int]] = {}
                 for i, j in index.walk(x[r], most):
-                    by.setdefault(i, []).append(j)
-                for i, js in by.items():
-                    for p in range(int(index.splits[i])):
-                        block.append(i)
-                        part.append(p)
-                        row.append(r)
-                        cells.append(js)
+                    at = int(index.first_part[i, j])
+                    for p in range(at, at + int(index.parts[i, j])):
+                        by.setdefault((i, p), []).append(j)
+                for (i, p), js in by.items():
+                    block.append(i)
+                    part.append(p)
+                    row.append(r)
+                    cells.append(js)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array([True] * len(row), pa.bool_()), batch.column("id").take(take), batch.column("v").take(take), pa.array(cells, pa.list_(pa.int32()))],
                 names=["block", "part", "query", "id", "v", "cells"],
             )
 
-    splits = F.array(*[F.lit(int(s)) for s in index.splits])
-    held = placed.select("block", F.pmod(F.xxhash64("id"), F.get(splits, F.col("block")).cast("long")).cast("int").alias("part"), F.lit(False).alias("query"), "id", "v", F.array("cell").alias("cells"))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j, ids = (batch.column(c).to_numpy() for c in ("block", "cell", "id"))
+            own = mixed(ids.view(np.uint64)) % index.parts[i, j].astype(np.uint64)
+            at = index.first_part[i, j] + own.astype(np.int64)
+            one = pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1), pa.int32()), batch.column("cell"))
+            columns = [batch.column("block"), pa.array(at, pa.int32()), pa.array(np.zeros(len(j), bool)), batch.column("id"), batch.column("v"), one]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "query", "id", "v", "cells"])
+
+    held = placed.mapInArrow(dealt, _MET.format(kind=kind))
     probes = good.where("q").select("id", "v").mapInArrow(probe, _MET.format(kind=kind))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,7 +55,7 @@ def test_search_odd_vectors(spark):
 def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(1)
     left, right = rng.normal(size=(9, 3)), rng.normal(size=(7, 3))
-    index = ann.Index(left, right, rng.integers(0, 3, (9, 7)), np.ones(9), 1.0)
+    index = ann.Index(left, right, rng.integers(0, 3, (9, 7)), 1.0)
     q = rng.normal(size=6)
     walked = index.walk(q, 10**9)
     near = {(i, j): -(left[i] @ q[:3]) - (right[j] @ q[3:]) for i in range(9) for j in range(7) if index.counts[i, j]}
@@ -118,6 +118,32 @@ def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
     assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(t)) for i, _, t in [*rows, rows[0]])
 
 
+def test_parts_hold_cells(monkeypatch):
+    """Parts are numbered in turn, no cell shares one with a cell that has several, and none holds much more than a block."""
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    rng = np.random.default_rng(2)
+    for counts in (rng.integers(0, 9, (5, 30)), rng.integers(0, 45, (5, 30)), np.array([[0, 0, 35, 3, 2, 0, 12]])):
+        index = ann.Index(np.zeros((len(counts), 1)), np.zeros((counts.shape[1], 1)), counts, 1.0)
+        for i, row in enumerate(counts):
+            load = {}
+            for j, n in enumerate(row):
+                parts = range(index.first_part[i, j], index.first_part[i, j] + index.parts[i, j])
+                assert len(parts) == max(1, -(-n // 10))
+                for p in parts:
+                    load.setdefault(p, []).append((j, n / len(parts)))
+            assert sorted(load) == list(range(len(load)))
+            assert all(sum(n for _, n in cells) <= 20 and (len(cells) == 1 or all(row[j] <= 10 for j, _ in cells)) for cells in load.values())
+
+
+def test_search_is_the_same_in_small_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(1000 + i, [1.0] * 8) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0, codewords=3).collect())
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    assert sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0, codewords=3).collect()) == whole and len(whole) == 20 * 31
+
+
 def test_search_keeps_doubles(spark):
     rows = [(0, [0.1, 0.7]), (1, [1.0, 0.1]), (2, [1e200, 1e-3])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect()
