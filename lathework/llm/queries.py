@@ -56,8 +56,44 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_strings(_table(spark, sf_dir, "documents"))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op2_secret_scan`` SQL can express: the base spans."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op6_pii`` SQL can express: the base spans."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index, op2_secret_scan, op3_language_id, op4_source_mixing, op5_simhash_golay, op6_pii, op7_decontamination, op8_window_dedup, op9_warc, op10_suffix_dedup)}
+    operators = (
+        op1_multi_index, op2_secret_scan, op3_language_id, op4_source_mixing, op5_simhash_golay, op6_pii, op7_decontamination, op8_window_dedup, op9_warc, op10_suffix_dedup,
+        secret_base, pii_base,
+    )
+    return {f.__name__: f for f in operators}
+
+
+def _base_spans(kinds: dict[str, tuple[str, str]]) -> str:
+    """SQL for base spans: ``kinds`` maps each name to its pattern and to the condition that keeps a match ``m``.
+
+    Matches and the gaps between them give the places.
+    """
+    found = " union all ".join(f"select doc_id, {k} k, '{name}' kind, regexp_extract_all(t, '{p}') ms, regexp_split_to_array(t, '{p}') gaps from d" for k, (name, (p, _)) in enumerate(kinds.items()))
+    keep = " or ".join(f"(kind = '{name}' and {condition})" for name, (_, condition) in kinds.items())
+    counts = ", ".join(f"count(*) filter (kind = '{name}') n_{name}" for name in kinds)
+    return f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+found as ({found}),
+each_ as (select doc_id, k, kind, ms[i] m, list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) a from (select *, unnest(range(1, len(ms) + 1)) i from found)),
+kept as (select doc_id, k, kind, cast(a as bigint) a, cast(a as bigint) + length(m) e from each_ where {keep}),
+told as (select doc_id, {counts}, string_agg(kind || ':' || a || ':' || e, ',' order by a, k) spans from kept group by doc_id)
+select doc_id, {", ".join(f"coalesce(n_{name}, 0) n_{name}" for name in kinds)}, sha256(coalesce(spans, '')) base_sha256 from d left join told using (doc_id)"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([case when j % 2 = 1 then c else 2 * c - 9 * cast(2 * c > 9 as integer) end for c, j in [cast(x as integer) for x in string_split(reverse({_DIGITS}), '')]]) % 10 = 0"
 
 
 #: SQL for the operators that SQL can express on whole tables; the others are tested against brute force.
@@ -105,7 +141,16 @@ told as (select doc_id, sum(b - a) n_repeated from gone where size = 240 group b
 select doc_id, n n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256, cast(coalesce(n_repeated, 0) as bigint) n_repeated
 from t left join cut using (doc_id) left join told using (doc_id)""",
-}
+    "secret_base": _base_spans({
+        "assign": (_ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6"), "access": ("AKIA[A-Z0-9]+", "length(m) >= 20"), "hex": ("[0-9a-f]+", "length(m) >= 24"),
+    }),
+    "pii_base": _base_spans({
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len([x for x in string_split(m, '.') if length(ltrim(x, '0')) > 3 or (length(ltrim(x, '0')) = 3 and ltrim(x, '0') > '255')]) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) between 12 and 19 and {_LUHN}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15"),
+    }),
+}
 
 
 def oracle_sql() -> dict[str, str]:
