@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .entity import Repository, column, embedded, entity, link, primary_key
+from .entity import Repository, column, embedded, entity, link, meta_of, pick, primary_key, union
 from .functions import renamed
 from .migrate import Migrator, load
 from .operators import (
@@ -18,7 +18,7 @@ from .operators import (
 )
 from .operators.types import DataType
 from .runtime import ship
-from .sources import Engine
+from .sources import Engine, connect
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -545,6 +545,113 @@ def _text_dialects(e: Engine) -> list[tuple]:
     return found
 
 
+@entity()
+class Place:
+    city = column(str)
+
+
+@entity("members")
+class Member:
+    id = primary_key(int, auto_generated=True)
+    color = column(str, enum=["red", "blue"], default=lambda values: "red")
+    home = embedded(Place, prefix="home_")
+    code = column(str, parse=lambda v, n: v.lower(), serialize=lambda v, n: v and v.upper())
+    fixed = column(int, no_update=True, default=1)
+    teams = column(list)
+    joined = link(exclusive=True).to_many("Team", "teams", "name")
+
+
+@entity("teams", primary=["name", "year"])
+class Team:
+    name = column(str)
+    year = column(int)
+
+
+def _members(e: Engine) -> Repository:
+    e.catalog.create("members", meta_of(Member).schema_type())
+    r = Repository(e, Member)
+    r.create_only({"code": "aB", "home": {"city": "x"}, "teams": ["t", "u"]})
+    r.create_only({"code": "cD", "color": "blue", "teams": ["u"]})
+    return r
+
+
+def _fails(f: Callable[[], Any]) -> bool:
+    try:
+        f()
+    except ValueError:
+        return True
+    return False
+
+
+@_objects("entity_values", "id int, code string, stored string, color string, fixed int, city string", "select 1 as id, 'ab' as code, 'AB' as stored, 'red' as color, 1 as fixed, 'y' as city union all select 2, 'cd', 'CD', 'blue', 1, null")
+def _entity_values(e: Engine) -> list[tuple]:
+    """Generated keys, defaults, enums, parse and serialize, columns that are never updated, embedded parts."""
+    r = _members(e)
+    r.update_only(1, {"fixed": 9, "home": {"city": "y"}})
+    stored = {row["id"]: row["code"] for row in e.execute(Select("id", "code").from_("members")).rows}
+    return [(o["id"], o["code"], stored[o["id"]], o["color"], o["fixed"], o.get("home", {}).get("city")) for o in r.find_many(sort="id")]
+
+
+@_objects("entity_refusals", "enum boolean, circular boolean, key boolean, eager boolean", "select true as enum, true as circular, true as key, true as eager")
+def _entity_refusals(e: Engine) -> list[tuple]:
+    return [(
+        _fails(lambda: _members(e).create({"color": "green"})), _fails(lambda: Repository(e, Region).find_many("nations.region")),
+        _fails(lambda: Repository(e, Team).find_by_id({"name": "t"})), _fails(lambda: Repository(e, Region).find_many("nations", max_eager_fetch=2)),
+    )]
+
+
+@_objects("entity_array_keys", "id int, team string, year int", "select 1 as id, 't' as team, 2020 as year union all select 1, 'u', 2021 union all select 1, 'u', 2022 union all select 2, 'u', 2021 union all select 2, 'u', 2022")
+def _entity_array_keys(e: Engine) -> list[tuple]:
+    """A link whose key is an array takes the rows of each of its elements; composite keys find one row."""
+    r = _members(e)
+    e.catalog.register("teams", e.spark.createDataFrame([("t", 2020), ("u", 2021), ("u", 2022), ("v", 2023)], "name string, year int"))
+    assert Repository(e, Team).find_by_id({"NAME": "u", "year": 2022}) == {"name": "u", "year": 2022}
+    return [(o["id"], t["name"], t["year"]) for o in r.find_many("id,joined") for t in o["joined"]]
+
+
+@_objects("entity_joined_once", "joins int, regions int", "select 2 as joins, 5 as regions")
+def _entity_joined_once(e: Engine) -> list[tuple]:
+    """A link that projection and order both go along is joined once."""
+    df = Repository(e, Customer).dataframe("key,nation.name,nation.region.name", sort=["nation.name", "nation.region.name"])
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return [(plan.count("Join LeftOuter"), df.select("_row.nation.region.name").distinct().count())]
+
+
+@_objects("entity_metadata", "names string, writable string, key string, mixed string", "select 'id,color,home,code,fixed,teams,joined' as names, 'id,color,code,teams' as writable, 'name,year' as key, 'id,code,city' as mixed")
+def _entity_metadata(e: Engine) -> list[tuple]:
+    mixed = meta_of(union(pick(Member, ["id", "code"]), Place)).names()
+    return [(",".join(meta_of(Member).names()), ",".join(n for n in meta_of(Member).update_names() if n != "home"), ",".join(c.name for c in meta_of(Team).key), ",".join(mixed))]
+
+
+@_objects("json_stream", "text string", """select '[' || string_agg('{"r_regionkey": ' || r_regionkey || ', "r_name": "' || r_name || '"}', ',' order by r_regionkey) || ']' as text from region""")
+def _json_stream(e: Engine) -> list[tuple]:
+    return [("".join(e.execute(Select("r_regionkey", "r_name").from_("region").order_by("r_regionkey"), cursor=True).cursor.to_stream()),)]
+
+
+@_objects("hooks", "events string, comment string, fetched int", "select 'execute,execute,start-transaction,execute,rollback' as events, '/* by hand */' as comment, 5 as fetched")
+def _hooks(e: Engine) -> list[tuple]:
+    """Events of the engine and of a query, a comment for one dialect, and a write that opens a transaction."""
+    seen, fetched = [], []
+    for name in ("execute", "start-transaction", "rollback", "commit"):
+        e.on(name, lambda *a, name=name: seen.append(name))
+    q = Select("r_name").from_("region").comment("by hand", ["postgres"])
+    q.on("fetch", lambda row, info: fetched.append(row["r_name"]))
+    e.execute(q)
+    e.execute(Insert("region", {"r_regionkey": 9}), auto_commit=False)
+    before = e.execute(Select(Count().as_("n")).from_("region")).rows[0]["n"]
+    e.rollback()
+    assert before == 6
+    text = q.generate("postgres").sql
+    assert "by hand" not in q.generate("oracle").sql
+    return [(",".join(seen), "/* by hand */" if "by hand" in text else text, len(fetched))]
+
+
+@_objects("memory_tables", "k int, v string", "select 2 as k, 'b' as v union all select 3, 'c'")
+def _memory_tables(e: Engine) -> list[tuple]:
+    own = connect(e.spark, driver="memory", tables={"t": ([(1, "a"), (2, "b"), (3, "c")], "k int, v string")})
+    return [tuple(r) for r in own.execute(Select().from_("t").where({"k >": 1}), object_rows=False).rows]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one region's nations with their orders nested, through entity links."""
     return Repository(_engine(spark, sf_dir), Customer).dataframe(projection="key,name,account,nation.name,orders.(key,total)", filter={"nation.region.name": "ASIA"}, sort=["key", "-orders.total"])
