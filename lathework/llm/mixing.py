@@ -2,7 +2,7 @@
 
 Token counts are summed over the cells (source, language, topic). Each cell's expected tokens are raked
 until their sums agree with the goal of every source, every language and every topic, and no cell gives
-more than it has: in turn, the cells of each value are scaled by the one factor that meets the value's goal
+more than it has: in turn, the cells of each value are scaled towards the one factor that meets the value's goal
 with the cells capped. Expected over available tokens is a cell's sampling probability.
 
 A topic is the class of a text's form, unless the caller names a column that holds topics.
@@ -11,13 +11,14 @@ A topic is the class of a text's form, unless the caller names a column that hol
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, materialize, ready, text_bytes
+from .common import chunks, fresh, materialize, ready, remove, text_bytes
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of all tokens that the sample is to have.
@@ -25,7 +26,15 @@ BUDGET = 0.5
 #: Without given targets a value's target is its token share to this power, normalised.
 FLATTEN = 0.5
 ROUNDS, TOLERANCE, SEED = 400, 1e-6, 17
-#: Cells that one task rakes in memory, some 200 bytes each; more are raked by Spark's own windows.
+#: Share of the tokens by which a sum may miss its goal for the goals to count as met.
+NEAR = 1e-3
+#: Goals are given up as conflicting after so many rounds that bring their largest miss down by less than a tenth.
+STALL = 20
+#: Rates are held in this range; beyond it they change nothing but could overflow.
+RANGE = (1e-30, 1e9)
+#: Sums and rates this near their goal and cap have reached them, so that no last digit decides on a step.
+SLACK = 1e-10
+#: Cells that one task rakes in memory, some 200 bytes each; more are raked in the same way by Spark's aggregates.
 MOST_CELLS = 200_000
 #: Steps of the search for the least change of targets that no weights can meet.
 STEPS = 10
@@ -69,30 +78,68 @@ def features(text: Column, batch_bytes: int = 8 << 20) -> Column:
     return of(text)
 
 
+# -- raking: what both ways of running it share
+
+
+def _settled[S](begin: Callable[[float], S], turn: Callable[[S], tuple[S, float]], drop: Callable[[S], None], whole: float, steps: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> S:
+    """The raked state for the least step, by bisection, at which all goals are met.
+
+    ``begin(step)`` gives the state before the first round, ``turn`` the state after a round and its largest
+    miss of a goal; ``drop`` is told the states that are given up.
+    """
+
+    def tried(step: float) -> tuple[S, float, int]:
+        state, offs = begin(step), []
+        while not offs or offs[-1] > NEAR * whole:
+            if len(offs) == rounds or len(offs) > STALL and min(offs[-STALL:]) > 0.9 * min(offs[:-STALL]):
+                break
+            state, off = turn(state)
+            offs.append(off)
+        return state, offs[-1], len(offs)
+
+    found = tried(0.0)
+    if found[1] > NEAR * whole:
+        drop(found[0])
+        low, high = 0.0, 1.0
+        found = tried(high)
+        for _ in range(steps):
+            middle = (low + high) / 2
+            new = tried(middle)
+            if new[1] <= NEAR * whole:
+                drop(found[0])
+                high, found = middle, new
+            else:
+                drop(new[0])
+                low = middle
+    state, off, done = found
+    while off > tolerance * whole and done < rounds:
+        state, off = turn(state)
+        done += 1
+    return state
+
+
 # -- raking in one task
 
 
-def _scaled(tokens: np.ndarray, rate: np.ndarray, code: np.ndarray, goal: np.ndarray) -> np.ndarray:
+def _scaled(tokens: np.ndarray, rate: np.ndarray, code: np.ndarray, goal: np.ndarray, turns: int = 100) -> np.ndarray:
     """Rates times the factor by value that meets ``goal``, cells capped at rate 1.
 
-    With a value's cells by falling rate, the factor that assumes the first k capped is (goal - their tokens) /
-    (rate * tokens of the rest). It holds where it leaves cell k uncapped; of those the largest is the factor.
+    Newton's method: a value's sum is concave in the factor, so a step from either side ends below the
+    wanted factor, as does the factor that ignores the caps; the larger of both is taken. Steps from there only
+    rise and end exactly. One step a round is enough for raking.
     """
-    order = np.lexsort((-rate, code))
-    r, t, c = rate[order], tokens[order], code[order]
-    starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-    ends = np.append(starts[1:], len(c))
-    before = np.cumsum(t) - t
-    before -= np.repeat(before[starts], ends - starts)
-    rest = np.cumsum((r * t)[::-1])[::-1]
-    rest = rest - np.repeat(np.append(rest, 0.0)[ends], ends - starts)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        f = (goal[c] - before) / rest
-    f = np.where((rest > 0) & (f * r <= 1 + 1e-12), f, -np.inf)
-    best = np.maximum.reduceat(f, starts)
-    factor = np.ones(len(goal))
-    factor[c[starts]] = np.where(np.isfinite(best), np.maximum(best, 0), 1e6)  # nothing fits: all of the value's cells are taken
-    return np.minimum(rate * factor[code], 1e9)
+    for _ in range(turns):
+        full = rate >= 1 - SLACK
+        part = rate * tokens
+        taken, free, whole = (np.bincount(code, x, len(goal)) for x in (np.where(full, tokens, 0.0), np.where(full, 0.0, part), part))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            below = np.where(whole > 0, goal / whole, 0.0)
+            factor = np.maximum(np.where(free > 0, (goal - taken) / free, 0.0), below)
+        factor = np.where((np.abs(goal - taken - free) <= SLACK * goal) | (free <= 0) & (taken < goal), 1.0, factor)
+        rate = np.clip(rate * factor[code], *RANGE)
+        if np.abs(factor[code] - 1).max(initial=0) < 1e-13:
+            break
+    return rate
 
 
 def _off(tokens: np.ndarray, rate: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray]) -> float:
@@ -100,17 +147,6 @@ def _off(tokens: np.ndarray, rate: np.ndarray, codes: list[np.ndarray], goals: l
     return max(float(np.abs(np.bincount(c, expected, len(g)) - g).max()) for c, g in zip(codes, goals, strict=True))
 
 
-def _raked(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], rate: float, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
-    now = np.full(len(tokens), rate)
-    for _ in range(rounds):
-        for c, g in zip(codes, goals, strict=True):
-            now = _scaled(tokens, now, c, g)
-        off = _off(tokens, now, codes, goals)
-        if off <= tolerance:
-            break
-    return np.minimum(now, 1), off
-
-
 def _filled(asked: np.ndarray, most: np.ndarray, whole: float) -> np.ndarray:
     """Goals in the proportions asked that sum to ``whole``, none above ``most``: what one can't give is asked of the others."""
     goal, full = np.zeros(len(asked)), np.zeros(len(asked), bool)
@@ -123,7 +159,7 @@ def _filled(asked: np.ndarray, most: np.ndarray, whole: float) -> np.ndarray:
         full |= over
 
 
-def fitted(tokens: np.ndarray, codes: list[np.ndarray], asked: list[np.ndarray], budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[np.ndarray]]:
+def fitted(tokens: np.ndarray, codes: list[np.ndarray], asked: list[np.ndarray], budget: float, steps: int = STEPS) -> tuple[np.ndarray, list[np.ndarray]]:
     """(probabilities, goals as shares): ``asked`` has the target shares by value of each dimension.
 
     Cells with a value whose target is 0 get nothing. Goals that the rest can't meet together are moved toward
@@ -141,22 +177,19 @@ def fitted(tokens: np.ndarray, codes: list[np.ndarray], asked: list[np.ndarray],
         return out, [np.zeros(len(a)) for a in asked]
     wanted = [_filled(np.where(h > 0, a, 0), h, whole) for a, h in zip(asked, have, strict=True)]
 
-    def tried(step: float) -> tuple[np.ndarray, float, list[np.ndarray]]:
-        goals = [(1 - step) * w + step * h * (whole / there) for w, h in zip(wanted, have, strict=True)]
-        return *_raked(tokens[use].astype(float), [c[use] for c in codes], goals, whole / there, rounds, tolerance * whole), goals
+    own, at = tokens[use].astype(float), [c[use] for c in codes]
 
-    rate, off, goals = tried(0.0)
-    if off > 1e-3 * whole:
-        low, high = 0.0, 1.0
-        rate, off, goals = tried(high)
-        for _ in range(STEPS):
-            middle = (low + high) / 2
-            found = tried(middle)
-            if found[1] <= 1e-3 * whole:
-                high, (rate, off, goals) = middle, found
-            else:
-                low = middle
-    out[use] = rate
+    def begin(step: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.full(len(own), whole / there), [(1 - step) * w + step * h * (whole / there) for w, h in zip(wanted, have, strict=True)]
+
+    def turn(state: tuple[np.ndarray, list[np.ndarray]]) -> tuple[tuple[np.ndarray, list[np.ndarray]], float]:
+        rate, goals = state
+        for c, g in zip(at, goals, strict=True):
+            rate = _scaled(own, rate, c, g, 1)
+        return (rate, goals), _off(own, rate, at, goals)
+
+    rate, goals = _settled(begin, turn, lambda state: None, whole, steps)
+    out[use] = np.minimum(rate, 1)
     return out, [g / whole for g in goals]
 
 
@@ -168,7 +201,7 @@ def _targets(values: Sequence[str], tokens: np.ndarray, given: Mapping[str, floa
     return share / share.sum() if share.sum() else share
 
 
-def _in_one_task(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, flatten: float) -> DataFrame:
+def _in_one_task(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, flatten: float, steps: int) -> DataFrame:
     kinds = ", ".join([*[f"{d} string" for d in dims], "tokens long, probability double", *[f"goal_{d} double" for d in dims]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +216,14 @@ def _in_one_task(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Ma
             values, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             codes.append(code)
             asked.append(_targets(values, np.bincount(code, tokens, len(values)), targets.get(d) if targets else None, flatten))
-        probability, goals = fitted(tokens, codes, asked, budget)
+        probability, goals = fitted(tokens, codes, asked, budget, steps)
         columns = [*[table.column(d).combine_chunks() for d in dims], pa.array(tokens), pa.array(probability), *[pa.array(g[c]) for g, c in zip(goals, codes, strict=True)]]
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in kinds.split(", ")])
 
     return cells.select(*dims, "tokens").repartition(1).mapInArrow(kernel, kinds)
 
 
-# -- raking by windows, for more cells than a task should hold
+# -- raking by aggregates, for more cells than a task should hold
 
 
 def _level(values: DataFrame, whole: float) -> float:
@@ -207,66 +240,76 @@ def _level(values: DataFrame, whole: float) -> float:
         s = new
 
 
-def _by_windows(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, flatten: float, rounds: int = 40, steps: Sequence[float] = (0.0, 0.125, 0.25, 0.5, 1.0)) -> DataFrame:
-    """As ``_in_one_task``; targets that can't be met together move by the first of ``steps`` that is enough."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    used = cells.where("tokens > 0").select(*dims, "tokens")
+def _by_aggregates(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, budget: float, flatten: float, steps: int) -> DataFrame:
+    """As ``_in_one_task``, step by step, but that sums may differ in their last digits; no task holds a value's cells."""
+    spark = cells.sparkSession
+    marked = cells.select(*dims, "tokens")
     for d in dims:
+        values = marked.groupBy(d).agg(F.sum("tokens").cast("double").alias("every"))
+        share = F.pow("every", F.lit(float(flatten)))
         if targets and d in targets:
-            used = used.where(F.col(d).isin([v for v, s in targets[d].items() if s > 0]))
-    used = materialize(used, "mixing-used")
-    there = used.agg(F.sum("tokens")).first()[0] or 0
-    whole = min(budget * total, there)
+            values = values.join(spark.createDataFrame(list(targets[d].items()), f"`{d}` string, share double"), d, "left")
+            share = F.coalesce("share", F.lit(0.0))
+        marked = marked.join(values.select(d, F.when(F.col("every") > 0, share).otherwise(0.0).alias(f"asked_{d}")), d)
+    used = F.col("tokens") > 0
     for d in dims:
-        values = used.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens"))
-        if targets and d in targets:
-            named = F.create_map(*[F.lit(x) for value, share in targets[d].items() for x in (str(value), float(share))])
-            values = values.withColumn("asked", F.element_at(named, F.col(d)))
-        else:
-            values = values.withColumn("asked", F.pow("tokens", F.lit(float(flatten))))
+        used &= F.col(f"asked_{d}") > 0
+    marked = materialize(marked.withColumn("used", used), "mixing-used")
+    total, there = (x or 0 for x in marked.agg(F.sum("tokens"), F.sum(F.when(F.col("used"), F.col("tokens")))).first())
+    whole = min(budget * total, float(there))
+    if whole <= 0:
+        return cells.select(*dims, "tokens", F.lit(0.0).alias("probability"), *[F.lit(0.0).alias(f"goal_{d}") for d in dims])
+    wanted = marked
+    for d in dims:
+        have = F.sum(F.when(F.col("used"), F.col("tokens")).otherwise(0)).cast("double")
+        values = marked.groupBy(d).agg(have.alias("tokens"), F.first(f"asked_{d}").alias("asked")).withColumn("asked", F.when(F.col("tokens") > 0, F.col("asked")).otherwise(0.0))
         values = materialize(values, "mixing-values")
         goal = F.least(F.col("tokens"), F.lit(_level(values, whole)) * F.col("asked"))
-        used = used.join(values.select(d, goal.alias(f"wanted_{d}"), F.col("tokens").alias(f"have_{d}")), d)
-    used = materialize(used, "mixing-wanted")
-    for step in steps:
-        now = used
-        for d in dims:
-            now = now.withColumn(f"goal_{d}", F.col(f"wanted_{d}") * F.lit(1 - step) + F.col(f"have_{d}") * F.lit(step * whole / max(there, 1)))
-        now = materialize(now.withColumn("rate", F.lit(whole / max(there, 1))), "mixing-rates")
-        for _ in range(rounds):
-            new = now
-            for d in dims:
-                order = Window.partitionBy(d).orderBy(F.desc("rate"), *dims)
-                before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                rest = F.sum(F.col("rate") * F.col("tokens")).over(order.rowsBetween(0, Window.unboundedFollowing))
-                factor = F.try_divide(F.col(f"goal_{d}") - before, rest)
-                new = new.withColumn("f", F.when((rest > 0) & (factor * F.col("rate") <= 1 + 1e-12), factor))
-                best = F.greatest(F.coalesce(F.max("f").over(Window.partitionBy(d)), F.lit(1e6)), F.lit(0.0))
-                new = new.withColumn("rate", F.least(F.col("rate") * best, F.lit(1e9))).drop("f")
-            now = materialize(new, "mixing-rates", replaces=now)
-            off = [now.groupBy(d).agg(F.abs(F.sum(F.col("tokens") * F.least("rate", F.lit(1.0))) - F.first(f"goal_{d}")).alias("off")).agg(F.max("off")).first()[0] or 0.0 for d in dims]
-            if max(off) <= 1e-4 * whole:
-                break
-        if not whole or max(off) <= 1e-3 * whole:
-            break
-    fit = now.select(*dims, F.least("rate", F.lit(1.0)).alias("probability"), *[(F.col(f"goal_{d}") / F.lit(float(whole or 1))).alias(f"goal_{d}") for d in dims])
-    same = [cells[d] == fit[d] for d in dims]
-    zero = [F.coalesce(f"goal_{d}", F.lit(0.0)).alias(f"goal_{d}") for d in dims]
-    return cells.join(fit, same, "left").select(*[cells[d] for d in dims], "tokens", F.coalesce("probability", F.lit(0.0)).alias("probability"), *zero)
+        wanted = wanted.join(values.select(d, goal.alias(f"wanted_{d}"), F.col("tokens").alias(f"have_{d}")), d)
+    base = materialize(wanted.drop(*[f"asked_{d}" for d in dims]), "mixing-wanted", replaces=marked)
+    part, full = F.col("rate") * F.col("tokens"), F.col("rate") >= 1 - SLACK
 
+    def begin(step: float) -> DataFrame:
+        goals = [(F.col(f"wanted_{d}") * F.lit(1 - step) + F.col(f"have_{d}") * F.lit(step * (whole / there))).alias(f"goal_{d}") for d in dims]
+        return base.select(*dims, "tokens", F.when(F.col("used"), F.lit(whole / there)).otherwise(0.0).alias("rate"), *goals)
 
-def rake(cells: DataFrame, dims: Sequence[str] = DIMENSIONS, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, flatten: float = FLATTEN, most_cells: int = MOST_CELLS) -> DataFrame:
+    def turn(now: DataFrame) -> tuple[DataFrame, float]:
+        new = now
+        for d in dims:
+            sums = new.groupBy(d).agg(
+                F.first(f"goal_{d}").alias("goal"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(part)).alias("free"), F.sum(part).alias("whole")
+            )
+            below = F.when(F.col("whole") > 0, F.col("goal") / F.col("whole")).otherwise(0.0)
+            step = F.when(F.col("free") > 0, (F.col("goal") - F.col("taken")) / F.col("free")).otherwise(0.0)
+            reached = (F.abs(F.col("goal") - F.col("taken") - F.col("free")) <= SLACK * F.col("goal")) | ((F.col("free") <= 0) & (F.col("taken") < F.col("goal")))
+            rate = F.greatest(F.least(F.col("rate") * F.col("factor"), F.lit(RANGE[1])), F.lit(RANGE[0]))
+            new = new.join(sums.select(d, F.when(reached, 1.0).otherwise(F.greatest(step, below)).alias("factor")), d).withColumn("rate", F.when(F.col("rate") > 0, rate).otherwise(0.0)).drop("factor")
+        new = materialize(new.select(now.columns), "mixing-rates", replaces=now)
+        expected = F.col("tokens") * F.least("rate", F.lit(1.0))
+        offs = [new.groupBy(d).agg(F.abs(F.sum(expected) - F.first(f"goal_{d}")).alias("off")).agg(F.max("off").alias("off")) for d in dims]
+        return new, reduce(DataFrame.unionByName, offs).agg(F.max("off")).first()[0]
+
+    def drop(state: DataFrame) -> None:
+        remove(spark, state._table_path)
+
+    last = _settled(begin, turn, drop, whole, steps)
+    return last.select(*dims, "tokens", F.least("rate", F.lit(1.0)).alias("probability"), *[(F.col(f"goal_{d}") / F.lit(whole)).alias(f"goal_{d}") for d in dims])
+
+
+def rake(cells: DataFrame, dims: Sequence[str] = DIMENSIONS, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, flatten: float = FLATTEN, most_cells: int = MOST_CELLS, steps: int = STEPS) -> DataFrame:
     """``cells(dims..., tokens)`` with ``probability`` and ``goal_<dim>``, the share that its value is given.
 
     Given targets are shares by value; values that they don't name get nothing, and they are scaled to sum
     to one over the values that have tokens. The expected tokens, tokens * probability, sum to ``budget`` of
     all, or to all that may be taken if those are fewer. A value's goal is its target, unless it has fewer
     tokens (then all are taken and the rest is asked of the others) or the goals can't be met together
-    (then all move toward the shares that the cells have, as little as a search finds to be enough); ``marginals`` tells them.
+    (then all move toward the shares that the cells have, as little as a bisection of ``steps`` steps finds to be enough); ``marginals`` tells them. Beyond
+    ``most_cells`` the same rounds run as Spark jobs: the rules and the results don't depend on the number of cells.
     """
-    if cells.count() <= most_cells:
-        return _in_one_task(cells, dims, targets, budget, flatten)
-    return _by_windows(cells, dims, targets, budget, flatten)
+    if targets is not None:
+        targets = {d: {str(value): float(share) for value, share in of.items()} for d, of in targets.items()}
+    way = _in_one_task if cells.count() <= most_cells else _by_aggregates
+    return way(cells, dims, targets, budget, flatten, steps)
 
 
 def marginals(raked: DataFrame, dims: Sequence[str] = DIMENSIONS) -> DataFrame:

@@ -41,6 +41,18 @@ def test_targets_beyond_what_is_there(spark, most_cells):
     assert mixing.rake(cells.limit(0), most_cells=most_cells).collect() == []
 
 
+@pytest.mark.parametrize("conflict", [False, True])
+def test_both_ways_give_the_same(spark, conflict):
+    """In one task and by aggregates: every probability and goal, with excluded values, empty cells and goals that conflict."""
+    if conflict:
+        rows, more = [("a", "x", "p", 100), ("b", "x", "p", 1), ("b", "y", "p", 100)], {"targets": {"source": {"a": 0.1, "b": 0.9}, "lang": {"x": 0.9, "y": 0.1}}, "budget": 0.4, "steps": 1}
+    else:
+        rows, more = [*CELLS, ("d", "x", "p", 5000), ("d", "v", "p", 0)], {"targets": {"source": {"a": 0.3, "b": 0.3, "c": 0.4}}, "budget": 0.03}
+    one, many = (sorted(mixing.rake(spark.createDataFrame(rows, SCHEMA), most_cells=most, **more).collect()) for most in (1000, 0))
+    assert len(one) == len(many) == len(rows) and 0 < sum(r.tokens * r.probability for r in one)
+    assert [r[:4] for r in one] == [r[:4] for r in many] and np.allclose([r[4:] for r in one], [r[4:] for r in many], rtol=0, atol=1e-9)
+
+
 def test_capped_scaling_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(50):
