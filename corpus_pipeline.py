@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8).
+    """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8; SimHash and MinHash candidates).
 
     Of rows that repeat that id one stays. Documents without an id all stay.
     """

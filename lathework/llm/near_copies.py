@@ -1,9 +1,11 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so that texts of similarity 0.8
-share a key in 0.999 of all cases. A bucket compares sketches (one byte of each of ``SKETCH`` minima) and
-keeps a spanning forest of the pairs that may be similar, never all pairs. The groups these links form
-then get their texts, and every link inside a group is decided by the shingle sets themselves.
+Candidates come from fingerprints of the shingle sets, linked by the caller's search (``simhash``: all
+within three bits), and from MinHash for similar texts whose fingerprints are further apart: ``BANDS`` keys
+of ``ROWS`` minima each, so that texts of similarity 0.8 share a key in 0.999 of all cases. A bucket compares
+sketches (one byte of each of ``SKETCH`` minima) and keeps a spanning forest of the pairs that may be similar,
+never all pairs. The groups that all links form together then get their texts, and every link inside a
+group is decided by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -140,24 +142,26 @@ def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, row, print, keys, sketch)`` per row: hashes of id with text and of the shingle set, band keys, sketch.
+def with_sets(docs: DataFrame, id_col: str, text_col: str, bits: Callable[[np.ndarray], int]) -> DataFrame:
+    """``(id, row, print, fp, keys, sketch)`` per row: hashes of id with text and of the shingle set, the set's ``bits``, band keys, sketch.
 
     A text without words has print 0 and no keys.
     """
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, row long, print long, keys binary, sketch binary"
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, row long, print long, fp long, keys binary, sketch binary"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text_col):
-            prints, keys, sketches = [], [], []
+            prints, fps, keys, sketches = [], [], [], []
             for text in docs_of(*text_bytes(part.column(text_col))):
                 own = shingle_set(text)
                 least = minima(own)
                 prints.append(xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0)
+                fps.append(bits(own))
                 keys.append(band_keys(least).tobytes() if len(own) else b"")
                 sketches.append(sketch(least).tobytes())
-            columns = [part.column(id_col), part.column("row"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "row", "print", "keys", "sketch"])
+            wide = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, fps)]
+            columns = [part.column(id_col), part.column("row"), *wide, pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "row", "print", "fp", "keys", "sketch"])
 
     return docs.select(id_col, text_col, row_hash(id_col, text_col)).mapInArrow(kernel, schema)
 
@@ -166,6 +170,15 @@ def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col).alias("row")
 
 
+def linked_prints(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` between ``prints(print, fp)`` whose fingerprints are equal or linked by ``links``."""
+    own = prints.where("print <> 0").select("print", "fp")
+    firsts = materialize(own.groupBy("fp").agg(F.min("print").alias("first")), "near-copies-fingerprints")
+    equal = own.join(firsts, "fp").where("print <> first").select(F.col("first").alias("a"), F.col("print").alias("b"))
+    a, b = (firsts.select(F.col("fp").alias(n), F.col("first").alias(f"{n}_first")) for n in "ab")
+    return equal.unionByName(links(firsts.select("fp")).join(a, "a").join(b, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
+
+
 def candidates(prints: DataFrame) -> DataFrame:
     """Spanning links ``(a, b)`` of each bucket of ``prints(print, keys, sketch)``, whose prints are distinct."""
 
@@ -217,11 +230,15 @@ def exact(members: DataFrame, text_col: str) -> DataFrame:
     return members.repartition("group").sortWithinPartitions("group").mapInArrow(kernel, "print long, root long")
 
 
-def label(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(root, low)`` per component of near copies with an id: its mark, and the smallest ``(id, row)`` of it."""
-    base = materialize(with_sets(docs, id_col, text_col), "near-copies")
-    prints = base.groupBy("print").agg(F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
-    groups = components(candidates(prints.select("print", "keys", "sketch")), "near-copies-links").select(F.col("node").alias("print"), F.col("root").alias("group"))
+def label(docs: DataFrame, id_col: str, text_col: str, bits: Callable[[np.ndarray], int], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(root, low)`` per component of near copies with an id: its mark, and the smallest ``(id, row)`` of it.
+
+    ``bits`` gives a shingle set's fingerprint, ``links`` the links ``(a, b)`` between distinct fingerprints ``fp``.
+    """
+    base = materialize(with_sets(docs, id_col, text_col, bits), "near-copies")
+    prints = base.groupBy("print").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
+    found = linked_prints(prints, links).unionByName(candidates(prints.select("print", "keys", "sketch")))
+    groups = components(found, "near-copies-links").select(F.col("node").alias("print"), F.col("root").alias("group"))
     chosen = prints.select("print", "row", "sketch").join(groups, "print")
     members = docs.select(row_hash(id_col, text_col), F.col(text_col).alias("_text")).join(chosen, "row").select("group", "print", "sketch", "_text")
     roots = materialize(exact(members, "_text"), "near-copies-roots")

@@ -65,16 +65,17 @@ def segment_keys() -> tuple[np.ndarray, np.ndarray]:
     return found[:, : count.max()], count
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text; texts without words get zero."""
-    hashes = shingle_hashes(text, shingle)
-    if not hashes:
-        return 0
-    wide = np.array(hashes, np.uint64)
+def bits(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes; without any it is zero."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(wide), 1 << 16):
-        ones += np.unpackbits(wide[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(wide), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of a UTF-8 text's shingles, repeats included; texts without words get zero."""
+    return bits(np.array(shingle_hashes(text, shingle), np.uint64))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -189,15 +190,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with smallest id of each component of near copies, all columns kept.
 
-    Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, decided on
-    the sets (module ``near_copies``), not by the three bits that bind ``near_duplicates``. Texts without
-    words are copies of each other. Rows that repeat the kept id in a component are dropped but one; rows of
+    Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least. Candidates
+    are the links of the sets' SimHashes, found by their Golay keys as in ``near_duplicates``; as many
+    similar texts differ in more than three bits, MinHash adds candidates (module ``near_copies``). The sets
+    decide on all of them. Texts without words are copies of each other. Rows that repeat the kept id in a component are dropped but one; rows of
     one id in different components are several documents. Documents with a null id stay. Columns of any
     name are kept. Empty in, empty out.
     """
     ready(docs)
     row = fresh(docs, "row")("row")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kept = near_copies.label(own, "id", "text").select(F.col("low.row").alias(row))
+    kept = near_copies.label(own, "id", "text", bits, links).select(F.col("low.row").alias(row))
     with_id = docs.where(F.col(id_col).isNotNull()).withColumn(row, near_copies.row_hash(id_col, text_col)).join(kept, row, "left_semi").dropDuplicates([row])
     return with_id.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

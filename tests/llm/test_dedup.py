@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pytest
 
-from lathework.llm import simhash, suffix, suffix_dedup, window_dedup
+from lathework.llm import near_copies, simhash, suffix, suffix_dedup, window_dedup
 
 DOCS = "doc_id long, text string, key string, id int"  # columns whose names clash with inner ones
 
@@ -177,6 +177,33 @@ def test_keep_first_links_by_jaccard(spark):
     assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
 
 
+def test_keep_first_finds_all_within_three_bits(spark, monkeypatch):
+    """SimHash and its Golay keys alone, without MinHash: similar texts within three bits are linked, others aren't."""
+    texts, far = [], None
+    for i in range(30):
+        words = [f"w{i}x{k}" for k in range(400)]
+        texts += [" ".join(words[:k] + ["new"] * min(1, k) + words[k:]) for k in (0, 90, 300)] + [" ".join(words[: 390 - i])]
+    bits = lambda t: simhash.bits(near_copies.shingle_set(t.encode()))
+    for i in range(20_000):  # a pair within three bits that is not similar enough
+        words = [f"v{i}x{k}" for k in range(34)]
+        far = (" ".join(words), " ".join([*words[:29], "a", "b", "c", "d", "e"]))
+        if (bits(far[0]) ^ bits(far[1])).bit_count() <= 3:
+            break
+    rows = list(enumerate([*texts, *far]))
+    sets = {i: set(near_copies.shingle_set(t.encode()).tolist()) for i, t in rows}
+    group = brute.components({i: bits(t) for i, t in rows})
+    assert group[len(texts)] == group[len(texts) + 1] and len(set(group.values())) < 80
+    root = {i: i for i in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if group[a] == group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(near_copies, "candidates", lambda prints: prints.selectExpr("print a", "print b").limit(0))
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i for i, r in root.items() if i == r} and {len(texts), len(texts) + 1} <= got
+
+
 def test_keep_first_leaves_the_callers_columns(spark):
     rows = [(1, "a b c", "r", 1, 2), (1, "a b c", "r", 1, 2), (2, "a b c", "r", 1, 2), (3, None, "r", 1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _row string, row int, print int")
